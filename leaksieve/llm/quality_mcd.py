@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 from leaksieve.llm.tables import staged, text_of
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MORE = ("n_lines", "n_capitals", "n_marks")
 #: Transformed statistics and the least scale of each: log words, log mean word length, and square roots of the shares
-#: of symbols, repeated lines and repeated words.
-SCALES = {"log_words": 0.5, "log_word_chars": 0.12, "symbols": 0.06, "dup_lines": 0.12, "repeats": 0.15}
+#: of symbols, repeated lines, repeated words, ASCII capitals and punctuation marks.
+SCALES = {"log_words": 0.5, "log_word_chars": 0.12, "symbols": 0.04, "dup_lines": 0.2, "repeats": 0.2, "capitals": 0.1, "marks": 0.1}
 P = len(SCALES)
+_CAPITALS, _MARKS = bytes(range(65, 91)), b"!?.,;:\"'()"
 _SPACE = b"\x20\t\n\x0b\x0c\r"
 
 
@@ -57,23 +59,27 @@ def base_statistics(data: bytes, n_chars: int) -> tuple[int, int, int, int, int]
                 if seen[w] > 1:
                     covered[i] = covered[i + 1] = covered[i + 2] = 1
             repeats = sum(covered)
-    spaces = len(data) - len(data.translate(None, _SPACE))
-    return n, n_chars - spaces, len(data) - len(data.translate(None, b"#*$%&|<>")), dup, repeats
+    return n, n_chars - _count(data, _SPACE), _count(data, b"#*$%&|<>"), dup, repeats
+
+
+def _count(data: bytes, which: bytes) -> int:
+    return len(data) - len(data.translate(None, which))
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, chars = batch["text"].cast(pa.binary()).to_pylist(), batch["chars"].to_pylist()
-        found = [(*base_statistics(t, c), t.count(b"\n") + 1) for t, c in zip(texts, chars, strict=True)]
-        columns = [pa.array([x[i] for x in found], pa.int64()) for i in range(6)]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], batch["source"], *columns], names=["doc_id", "lang", "source", *BASE, "n_lines"])
+        more = [(t.count(b"\n") + 1, _count(t, _CAPITALS), _count(t, _MARKS)) for t in texts]
+        found = [(*base_statistics(t, c), *m) for t, c, m in zip(texts, chars, more, strict=True)]
+        columns = [pa.array([x[i] for x in found], pa.int64()) for i in range(len(BASE) + len(MORE))]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], batch["source"], *columns], names=["doc_id", "lang", "source", *BASE, *MORE])
 
 
 def statistics(df: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the base counts, n_lines and base_failed."""
+    """doc_id, lang, source, the base counts, further counts and base_failed."""
     text = text_of(df)
     rows = df.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), text.alias("text"), F.length(text).cast("long").alias("chars"))
-    schema = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in (*BASE, "n_lines"))
+    schema = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in (*BASE, *MORE))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.mapInArrow(_statistics, schema).withColumn("base_failed", failed)
 
@@ -86,6 +92,8 @@ def _vector() -> list[Column]:
         F.sqrt(F.col("n_symbols") / F.greatest("word_chars", F.lit(1))),
         F.sqrt(F.col("n_dup_lines") / F.col("n_lines")),
         F.sqrt(F.col("n_repeat_words") / words),
+        F.sqrt(F.col("n_capitals") / F.greatest("word_chars", F.lit(1))),
+        F.sqrt(F.col("n_marks") / F.greatest("word_chars", F.lit(1))),
     ]
     return [x / scale for x, scale in zip(raw, SCALES.values(), strict=True)]
 
@@ -210,7 +218,7 @@ def mcd_models(rows: DataFrame, half: float = 0.75, steps: int = 6) -> DataFrame
     return staged(inner.groupBy("grp", "start").agg(*_sums()).groupBy("grp", "start").applyInPandas(_reweighted(half), _MODEL))
 
 
-def mcd_quality(df: DataFrame, least: int = 200, tail: float = 1e-7, half: float = 0.75) -> DataFrame:
+def mcd_quality(df: DataFrame, least: int = 200, tail: float = 1e-6, half: float = 0.75) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and the squared distance (null where the base rules failed).
 
     kept is false for texts that fail the base rules and for those whose squared distance from their group's estimate

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leaksieve.llm import mpeg_audio, packing, quality_mcd, token_counts, toxicity
+from leaksieve.llm import bag_minhash, histogram_shards, line_edit_join, mpeg_audio, packing, quality_mcd, token_counts, toxicity
 from leaksieve.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,18 @@ def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.media_digests(documents(spark, sf_dir))
 
 
+def op4_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram_shards.shard_documents(documents(spark, sf_dir))
+
+
+def op5_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_edit_join.line_report(documents(spark, sf_dir))
+
+
+def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
@@ -34,6 +46,18 @@ def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(docs, model)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_robust_outliers, op2_pretoken_counts, op3_mpeg_audio, op9_best_fit_packing, op10_ordinal_toxicity)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_robust_outliers,
+        op2_pretoken_counts,
+        op3_mpeg_audio,
+        op4_histogram_sort,
+        op5_line_edit_join,
+        op6_bag_minhash,
+        op9_best_fit_packing,
+        op10_ordinal_toxicity,
+    )
+}
 
 SQL: dict[str, str] = {}

@@ -2,11 +2,13 @@
 
 Severity grades are ordered (0 clean, 1 mild, 2 severe); one weight vector is shared by all thresholds:
 P(grade >= k) = sigmoid(w.x - theta_k), theta ascending. The labels say only toxic or not, so training grades a toxic text as
-severe when its density of words that are over-represented in toxic texts is at or above the median among toxic texts.
+severe when it has more words that are over-represented in toxic texts than the median toxic text.
 
-The model is fitted on at most ``sample`` labelled rows, the lowest by a hash of doc_id (a documented bound);
-scoring covers every whole text. Features are the presence of words; a word is a feature if it occurs in at least
-``least`` texts of the sample and its log-odds against the toxic label exceed ``z`` standard errors.
+The model is fitted on at most ``sample`` labelled rows, the lowest by a hash of doc_id (a documented bound), of which
+near copies are left out (rows that share a minimum hash over five-word shingles with an earlier one, so that a group of
+copies doesn't teach its rare words); scoring covers every whole text. Features are the presence of words and of word beginnings of four and
+five characters (inflected forms share them); one is used if it occurs in at least ``least`` texts of the sample and its log-odds against the toxic label exceed ``z``
+standard errors.
 
 Defined results: a null or empty text has no features and gets the model's base rate; without labels, or without toxic
 ones, nothing is rejected; repeated rows each get a row; a null doc_id is carried through; other columns are ignored.
@@ -16,6 +18,8 @@ from __future__ import annotations
 
 import json
 import math
+import sys
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,18 +42,34 @@ def word_set(text: str) -> Counter:
     return out
 
 
+def features(words) -> set[str]:
+    """The words, and the beginnings (marked ^) of those that are longer."""
+    words = set(words)
+    return words.union({"^" + w[:4] for w in words if len(w) > 4}, {"^" + w[:5] for w in words if len(w) > 5})
+
+
+def sketch(text: str) -> list[int]:
+    """Four minimum hashes over the five-word shingles."""
+    words = text.lower().split()
+    shingles = {zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4))}
+    return [min((h * a + a) & 0xFFFFFFFF for h in shingles) for a in (1, 0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)]
+
+
 def _texts_to_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counted = [word_set(t) for t in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array([list(c) for c in counted], pa.list_(pa.string())), pa.array([list(c.values()) for c in counted], pa.list_(pa.int32()))], names=["toxic", "words", "counts"])
+        texts = batch["text"].to_pylist()
+        counted = [word_set(t) for t in texts]
+        lists = [pa.array([list(c) for c in counted], pa.list_(pa.string())), pa.array([sum(c.values()) for c in counted], pa.int32()), pa.array(map(sketch, texts), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], *lists], names=["doc_id", "toxic", "words", "n_words", "sketch"])
 
 
 def labelled_sample(df: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """toxic, words, counts of the labelled rows with the lowest hashes of doc_id."""
+    """doc_id, toxic, words, n_words and sketch of the labelled rows with the lowest hashes of doc_id."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     chosen = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = df.select(F.col("doc_id").cast("long"), text_of(df).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return texts.select("text", "toxic").mapInArrow(_texts_to_words, "toxic int, words array<string>, counts array<int>")
+    rows = texts.select("doc_id", "text", "toxic").mapInArrow(_texts_to_words, "doc_id long, toxic int, words array<string>, n_words int, sketch array<long>")
+    return rows.orderBy("doc_id", "n_words")
 
 
 def fit_cumulative_link(rows: list[list[int]], grades: np.ndarray, width: int, levels: int, ridge: float = 0.02, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
@@ -79,16 +99,21 @@ def fit_cumulative_link(rows: list[list[int]], grades: np.ndarray, width: int, l
     return params[:width], params[width] + np.concatenate([[0], np.cumsum(np.exp(params[width + 1 :]))])
 
 
-def train(df: DataFrame, labels: DataFrame, sample: int = 6000, least: int = 3, z: float = 4.0) -> dict:
+def train(df: DataFrame, labels: DataFrame, sample: int = 12_000, least: int = 5, z: float = 4.0) -> dict:
     """{"weights": {word: weight}, "theta": [..]}; a model that rejects nothing where no toxic text is labelled."""
-    n, toxic_n, docs, toxic_docs, rows = 0, 0, Counter(), Counter(), []
+    n, toxic_n, docs, toxic_docs, rows, seen = 0, 0, Counter(), Counter(), [], set()
     for row in labelled_sample(df, labels, sample).toLocalIterator():
+        marks = set(enumerate(row.sketch))
+        if marks & seen:
+            continue
+        seen |= marks
         n += 1
-        docs.update(row.words)
-        rows.append((int(row.toxic > 0), row.words, sum(row.counts)))
+        words = [sys.intern(w) for w in row.words]
+        docs.update(features(words))
+        rows.append((int(row.toxic > 0), words))
         if row.toxic > 0:
             toxic_n += 1
-            toxic_docs.update(row.words)
+            toxic_docs.update(features(words))
     if not toxic_n or toxic_n == n:
         return {"weights": {}, "theta": [40.0, 41.0]}
     strong = {}
@@ -99,11 +124,12 @@ def train(df: DataFrame, labels: DataFrame, sample: int = 6000, least: int = 3,
         if d >= least and abs(odds) > z * math.sqrt(1 / a + 1 / b + 1 / c + 1 / e):
             strong[w] = odds
     vocabulary = {w: i for i, w in enumerate(sorted(strong))}
-    density = [sum(strong.get(w, 0) > 0 for w in words) / max(1, total) for _, words, total in rows]
-    middle = float(np.median([d for d, (y, _, _) in zip(density, rows, strict=True) if y]))
-    grades = np.array([y + (y and d >= middle) for d, (y, _, _) in zip(density, rows, strict=True)])
-    features = [sorted(vocabulary[w] for w in words if w in vocabulary) for _, words, _ in rows]
-    weights, theta = fit_cumulative_link(features, grades, len(vocabulary), 3)
+    strong_word = lambda w: max(strong.get(f, 0) for f in features([w])) > 0
+    hits = [sum(map(strong_word, words)) if y else 0 for y, words in rows]
+    middle = float(np.median([h for h, (y, _) in zip(hits, rows, strict=True) if y]))
+    grades = np.array([y + (y and h > middle) for h, (y, _) in zip(hits, rows, strict=True)])
+    indices = [sorted(vocabulary[f] for f in features(words) if f in vocabulary) for _, words in rows]
+    weights, theta = fit_cumulative_link(indices, grades, len(vocabulary), 3)
     return {"weights": {w: float(weights[i]) for w, i in vocabulary.items()}, "theta": [float(x) for x in theta]}
 
 
@@ -114,8 +140,8 @@ def _score(model: str):
         for batch in batches:
             scores = []
             for text in batch["text"].to_pylist():
-                words = {w.strip(_TRIM) for w in set(text.lower().split())}
-                scores.append(sum(map(weight.__getitem__, sorted(words.intersection(weight)))))
+                found = features(w.strip(_TRIM) for w in set(text.lower().split())).intersection(weight)
+                scores.append(sum(map(weight.__getitem__, sorted(found))))
             above = 1 / (1 + np.exp(-np.clip(np.array(scores, float)[:, None] - theta, -40, 40)))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.round(above.sum(axis=1), 6)), pa.array((above >= 0.5).sum(axis=1).astype(np.int32))], names=["doc_id", "expected_severity", "grade"])
 

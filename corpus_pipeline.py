@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leaksieve.llm import packing, toxicity
+from leaksieve.llm import bag_minhash, line_edit_join, packing, raking, toxicity
 from leaksieve.llm.tables import documents, staged
 
 
@@ -14,11 +14,33 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, model)
 
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that repeat an earlier one within two edits."""
+    return line_edit_join.without_repeated_lines(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group at a weighted Jaccard similarity of 0.8 or more."""
+    return bag_minhash.without_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose token shares by source, language and topic meet the smoothed targets."""
+    return raking.mixed(docs)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens with their places in sequences."""
     return packing.pack_documents(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("packing", pack_sequences)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
 #: Regression weights, signatures and token ids are beyond SQL: tests/llm holds each stage against a brute-force version.
 ORACLE_SQL = None

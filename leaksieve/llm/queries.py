@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leaksieve.llm import bag_minhash, histogram_shards, line_edit_join, mpeg_audio, packing, quality_mcd, token_counts, toxicity
+from leaksieve.llm import bag_minhash, histogram_shards, line_edit_join, mpeg_audio, packing, preference_format, quality_mcd, raking, token_counts, toxicity
 from leaksieve.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +37,15 @@ def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag_minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preference_format.preference_pairs(*preference_format.pairs_of_neighbours(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return pairs.withColumns({c: preference_format.spans_text(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
+
+
+def op8_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raking.calibrated(documents(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
@@ -55,9 +65,11 @@ QUERIES: dict[str, Query] = {
         op4_histogram_sort,
         op5_line_edit_join,
         op6_bag_minhash,
+        op7_preference_pairs,
+        op8_raked_mixture,
         op9_best_fit_packing,
         op10_ordinal_toxicity,
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_preference_pairs": preference_format.SQL, "op8_raked_mixture": raking.SQL}

@@ -1,9 +1,10 @@
 """Token counts from pre-token frequencies.
 
-Texts are cut into pre-tokens; a block of documents becomes one row per distinct pre-token holding the documents
-that contain it and how often. These rows are exchanged by pre-token, so each distinct pre-token is put through the
-tokenizer's model once; its number of pieces joins the row, the rows return to their block, and each document's count is
-the sum of frequency times pieces. No list of ids is ever made for a document.
+Texts are cut into pre-tokens. A block of documents becomes a table of per-document frequencies over the block's distinct
+pre-tokens, and the distinct pre-tokens alone, dealt into buckets by a hash, are exchanged: a bucket's task puts each of
+them through the tokenizer's model once and answers every block that asked. The answers join the block's frequencies,
+and each document's count is the sum of frequency times pieces. No list of ids is ever made for a document. A very common
+word is one entry per block like any other, so buckets are even; a task holds the vocabulary of one bucket.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); every input row gives one output row, repeated rows
 included; a null doc_id is carried through; other columns are ignored; an empty table gives an empty result. Special
@@ -14,8 +15,10 @@ from __future__ import annotations
 
 import functools
 import json
+import pickle
 import re
 import unicodedata
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -25,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leaksieve.llm.tables import text_of, tokenizer_path
+from leaksieve.llm.tables import staged, text_of, tokenizer_path
 
 #: A block ends after so many documents or pre-tokens; it is what one group of the last step holds.
-BLOCK_DOCS, BLOCK_PRETOKENS = 60_000, 2_000_000
-#: A row that names more documents than this is dealt by its block, so that a very common word doesn't meet in one task.
-WIDE = 1024
+BLOCK_DOCS, BLOCK_PRETOKENS = 60_000, 5_000_000
+#: Buckets of pre-tokens, the most tasks that count side by side.
+BUCKETS = 4096
 
-_ROWS = "block long, wide long, pretoken string, docs binary, freqs binary, doc_ids array<long>, n_bytes array<long>, specials array<int>"
+#: bucket -1 holds the block's documents and frequencies, the others their share of its distinct pre-tokens.
+_ROWS = "block long, bucket int, data binary"
+_COUNTS = "doc_id long, n_bytes long, n_tokens long"
 
 
 class PreTokens:
@@ -78,17 +83,8 @@ def _pretokens(path: str) -> PreTokens:
     return PreTokens(path)
 
 
-def _lists(values: np.ndarray, first: int, rows: int, kind: pa.DataType) -> pa.Array:
-    """A list column that is null but in one row."""
-    if len(values) == 0:
-        return pa.nulls(rows, pa.list_(kind))
-    out: list = [None] * rows
-    out[first] = values
-    return pa.array(out, pa.list_(kind))
-
-
 class _Block:
-    """Documents on their way into rows by pre-token."""
+    """Documents on their way into a frequency table."""
 
     def __init__(self):
         self.ids: list = []
@@ -103,35 +99,36 @@ class _Block:
         self.ids.append(doc_id)
         self.bytes.append(n_bytes)
         self.specials.append(special)
-        self.codes.append(np.fromiter(map(self.code.__getitem__, words), np.int64, len(words)))
+        self.codes.append(np.fromiter(map(self.code.__getitem__, words), np.int32, len(words)))
         self.size += len(words)
 
-    def rows(self, block: int) -> pa.RecordBatch:
-        words = list(self.code) or [""]
-        doc = np.repeat(np.arange(len(self.ids)), [len(c) for c in self.codes])
-        pairs, freqs = np.unique(np.concatenate(self.codes) * len(self.ids) + doc, return_counts=True)
-        word, doc = np.divmod(pairs, len(self.ids))
-        each = np.bincount(word, minlength=len(words)) if len(pairs) else np.zeros(len(words), np.int64)
-        ends = np.concatenate([[0], np.cumsum(each)])
-        binary = lambda a, dtype: pa.Array.from_buffers(
-            pa.binary(), len(words), [None, pa.py_buffer((ends * np.dtype(dtype).itemsize).astype(np.int32)), pa.py_buffer(a.astype(dtype))]
-        )
-        n, head = len(words), max(range(len(words)), key=lambda i: len(words[i]))
-        ids: list = [None] * n
-        ids[head] = self.ids
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(n, block)),
-                pa.array(np.where(each > WIDE, block, -1)),
-                pa.array(words, pa.string()),
-                binary(doc, np.uint16),
-                binary(freqs, np.uint32),
-                pa.array(ids, pa.list_(pa.int64())),
-                _lists(np.array(self.bytes, np.int64), head, n, pa.int64()),
-                _lists(np.array(self.specials, np.int32), head, n, pa.int32()),
-            ],
-            names=["block", "wide", "pretoken", "docs", "freqs", "doc_ids", "n_bytes", "specials"],
-        )
+    def rows(self, block: int) -> Iterator[tuple[int, int, bytes]]:
+        """The frequency table with words numbered bucket by bucket, then each bucket's words."""
+        words, n = list(self.code), len(self.ids)
+        self.code.clear()
+        bucket = np.fromiter((zlib.crc32(w.encode()) % BUCKETS for w in words), np.int64, len(words))
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        doc = np.repeat(np.arange(n), [len(c) for c in self.codes])
+        code = place[np.concatenate(self.codes)] if words else np.zeros(0, np.int64)
+        self.codes.clear()
+        pairs, freqs = np.unique(code * n + doc, return_counts=True)
+        word, doc = np.divmod(pairs, n)
+        each = np.bincount(word, minlength=len(words)).astype(np.uint16 if n < 65_536 else np.uint32)
+        known = np.array([i is not None for i in self.ids])
+        ids = np.array([i or 0 for i in self.ids], np.int64)
+        arrays = (ids, known, np.array(self.bytes, np.int64), np.array(self.specials, np.int64), each, doc.astype(np.uint16), freqs.astype(np.uint16 if not len(freqs) or freqs.max() < 65_536 else np.uint32))
+        yield block, -1, zlib.compress(pickle.dumps(arrays, protocol=5), 1)
+        ends = np.searchsorted(bucket[order], np.arange(BUCKETS + 1)).tolist()
+        names = [words[i] for i in order.tolist()]
+        for b in range(BUCKETS):
+            if ends[b] < ends[b + 1]:
+                yield block, b, "\n".join(names[ends[b] : ends[b + 1]]).encode()
+
+
+def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["block", "bucket", "data"])
 
 
 def _to_rows(tokenizer: str):
@@ -140,72 +137,50 @@ def _to_rows(tokenizer: str):
 
         cut, block, n = _pretokens(tokenizer_path(tokenizer)), _Block(), 0
         part = TaskContext.get().partitionId()
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            whole = block.rows((part << 24) + n)
-            for at in range(0, whole.num_rows, 20_000):
-                yield whole.slice(at, 20_000)
-
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 if block.ids and (block.size + len(text) // 4 > BLOCK_PRETOKENS or len(block.ids) >= BLOCK_DOCS):
-                    yield from rows()
+                    yield _batch(list(block.rows((part << 24) + n)))
                     block, n = _Block(), n + 1
                 block.add(doc_id, text, len(text.encode()), cut)
         if block.ids:
-            yield from rows()
+            yield _batch(list(block.rows((part << 24) + n)))
 
     return run
 
 
 def _count(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by pre-token: each run of equal ones is counted once."""
-        cut, last, size = _pretokens(tokenizer_path(tokenizer)), None, 0
+        """Rows arrive sorted by bucket: what a bucket's earlier rows asked for is known until the next bucket."""
+        cut, now, known = _pretokens(tokenizer_path(tokenizer)), None, {}
         for batch in batches:
-            coded = batch["pretoken"].dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            known = [size] if words and words[0] == last else []
-            sizes = known + cut.sizes(words[len(known) :])
-            if words:
-                last, size = words[-1], sizes[-1]
-            pieces = pa.array(sizes, pa.int32()).take(coded.indices)
-            yield pa.RecordBatch.from_arrays(
-                [batch["block"], pieces, *(batch[c] for c in ("docs", "freqs", "doc_ids", "n_bytes", "specials"))],
-                names=["block", "pieces", "docs", "freqs", "doc_ids", "n_bytes", "specials"],
-            )
+            out = []
+            for block, bucket, data in zip(*(batch[c].to_pylist() for c in ("block", "bucket", "data")), strict=True):
+                if bucket != now:
+                    now, known = bucket, {}
+                words = data.decode().split("\n")
+                new = [w for w in words if w not in known]
+                known.update(zip(new, cut.sizes(new), strict=True))
+                out.append((block, bucket, np.fromiter(map(known.__getitem__, words), np.uint32, len(words)).tobytes()))
+            yield _batch(out)
 
     return run
 
 
-def _sum(table: pa.Table) -> pa.Table:
-    """One block's rows to its documents."""
-
-    def flat(name: str, dtype) -> tuple[np.ndarray, np.ndarray]:
-        arrays = [c for c in table[name].chunks if len(c)]
-        data, sizes = [], []
-        for a in arrays:
-            ends = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1]
-            sizes.append(np.diff(ends) // np.dtype(dtype).itemsize)
-            if ends[-1] > ends[0]:
-                data.append(np.frombuffer(a.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(dtype))
-        return (np.concatenate(data) if data else np.zeros(0, dtype)), np.concatenate(sizes)
-
-    (docs, each), (freqs, _) = flat("docs", np.uint16), flat("freqs", np.uint32)
-    head = table.filter(table["specials"].is_valid())
-    ids, n_bytes = head["doc_ids"][0].values, head["n_bytes"][0].values
-    pieces = np.repeat(table["pieces"].to_numpy(), each)
-    total = np.bincount(docs, weights=freqs.astype(np.float64) * pieces, minlength=len(ids)).astype(np.int64)
-    total += head["specials"][0].values.to_numpy()
-    return pa.table({"doc_id": ids.cast(pa.int64()), "n_bytes": n_bytes.cast(pa.int64()), "n_tokens": pa.array(total)})
+def _sum(frequencies: pa.Table, answers: pa.Table) -> pa.Table:
+    """One block's documents."""
+    ids, known, n_bytes, total, each, doc, freqs = pickle.loads(zlib.decompress(frequencies["data"][0].as_py()))
+    in_order = answers.sort_by("bucket")["data"].to_pylist()
+    pieces = np.repeat(np.frombuffer(b"".join(in_order), np.uint32), each).astype(np.float64)
+    total = total + np.bincount(doc, weights=pieces * freqs, minlength=len(ids)).astype(np.int64)
+    return pa.table({"doc_id": pa.array(ids, mask=~known), "n_bytes": n_bytes, "n_tokens": total})
 
 
 def token_counts(df: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 2048) -> DataFrame:
     """One row per document: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit)."""
-    rows = df.select(F.col("doc_id").cast("long"), text_of(df).alias("text")).mapInArrow(_to_rows(tokenizer), _ROWS)
-    dealt = rows.repartition("pretoken", "wide").sortWithinPartitions("pretoken")
-    counted = dealt.mapInArrow(
-        _count(tokenizer), "block long, pieces int, docs binary, freqs binary, doc_ids array<long>, n_bytes array<long>, specials array<int>"
-    )
-    per_doc = counted.groupBy("block").applyInArrow(_sum, "doc_id long, n_bytes long, n_tokens long")
+    texts = df.select(F.col("doc_id").cast("long"), text_of(df).alias("text"))
+    rows = staged(texts.mapInArrow(_to_rows(tokenizer), _ROWS))
+    asked = rows.where(F.col("bucket") >= 0).repartition("bucket").sortWithinPartitions("bucket")
+    answers = asked.mapInArrow(_count(tokenizer), _ROWS).groupBy("block")
+    per_doc = rows.where(F.col("bucket") < 0).groupBy("block").cogroup(answers).applyInArrow(_sum, _COUNTS)
     return per_doc.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from leaksieve.llm.components import connected
 from leaksieve.llm.tables import staged, text_of
 
-BANDS, ROWS = 30, 4
+BANDS, ROWS = 30, 5
 SLOTS = BANDS * ROWS
 #: Shingles whose signatures are computed together.
-CHUNK = 400_000
+CHUNK = 200_000
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 
@@ -51,7 +51,7 @@ class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word.encode())
         return value

@@ -113,7 +113,8 @@ def scan(strings: DataFrame, rules: Sequence[Rule], value: str = "value", exact:
     match is the plaintext; sinks drop it.
     """
     keys = [c for c in strings.columns if c != value]
-    hits = with_hits(strings, value, rules, "_hits", exact).where(F.size("_hits") > 0).select(*keys, F.inline("_hits"))
+    # an outer generator: the optimiser would copy the whole scan into a filter in front of an inner one
+    hits = with_hits(strings, value, rules, "_hits", exact).select(*keys, F.inline_outer("_hits")).where(F.col("idx").isNotNull())
     named = F.broadcast(rules_table(strings.sparkSession, rules).select("rule_idx", "rule", "display"))
     found = hits.withColumnRenamed("value", "match").withColumnRenamed("idx", "rule_idx").join(named, "rule_idx")
     return found.select(*keys, "rule_idx", "rule", "display", "match", masked(F.col("match")).alias("masked"), "start", "end")

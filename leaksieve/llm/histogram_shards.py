@@ -150,3 +150,17 @@ def shard_documents(df: DataFrame, shards: int = 40) -> DataFrame:
     rows = df.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), text_key(text).alias("key"))
     out = histogram_shards(rows, F.col("key"), F.col("doc_id"), F.col("size"), shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: CRC-32 goes byte by byte and bit by bit through a list: each byte is followed by eight shift steps (-1).
+SQL = """
+WITH k AS (
+  SELECT doc_id, coalesce(text, '') AS x, strlen(coalesce(text, ''))::BIGINT + 16 AS size, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS key FROM documents),
+o AS (SELECT *, coalesce(sum(size) OVER (ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(size) OVER () AS total FROM k),
+s AS (
+  SELECT doc_id, size, key, least((2 * below + size) * 40 // (2 * total), 39)::INTEGER AS shard,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda b: [('0x' || b)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, v: CASE WHEN v >= 0 THEN xor(c, v) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295::BIGINT) AS text_crc32
+  FROM o)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY key, doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard FROM s
+"""

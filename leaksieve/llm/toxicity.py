@@ -17,10 +17,7 @@ ones, nothing is rejected; repeated rows each get a row; a null doc_id is carrie
 from __future__ import annotations
 
 import json
-import math
-import sys
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,18 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leaksieve.llm.tables import text_of
+from leaksieve.llm.tables import staged, text_of
 
 _TRIM = ".,;:!?\"'()[]{}<>*_-…“”„«»¡¿"
 
 
-def word_set(text: str) -> Counter:
-    """Lower-cased words without outer punctuation, with their counts."""
-    out: Counter = Counter()
-    for w, n in Counter(text.lower().split()).items():
-        out[w.strip(_TRIM)] += n
-    out.pop("", None)
-    return out
+def word_set(text: str) -> set[str]:
+    """Lower-cased words without outer punctuation."""
+    return {w.strip(_TRIM) for w in set(text.lower().split())} - {""}
 
 
 def features(words) -> set[str]:
@@ -58,18 +51,16 @@ def sketch(text: str) -> list[int]:
 def _texts_to_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch["text"].to_pylist()
-        counted = [word_set(t) for t in texts]
-        lists = [pa.array([list(c) for c in counted], pa.list_(pa.string())), pa.array([sum(c.values()) for c in counted], pa.int32()), pa.array(map(sketch, texts), pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], *lists], names=["doc_id", "toxic", "words", "n_words", "sketch"])
+        lists = [pa.array([sorted(word_set(t)) for t in texts], pa.list_(pa.string())), pa.array([sketch(t) for t in texts], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], *lists], names=["doc_id", "toxic", "words", "sketch"])
 
 
 def labelled_sample(df: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """doc_id, toxic, words, n_words and sketch of the labelled rows with the lowest hashes of doc_id."""
+    """doc_id, toxic, words and sketch of the labelled rows with the lowest hashes of doc_id."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     chosen = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = df.select(F.col("doc_id").cast("long"), text_of(df).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = texts.select("doc_id", "text", "toxic").mapInArrow(_texts_to_words, "doc_id long, toxic int, words array<string>, n_words int, sketch array<long>")
-    return rows.orderBy("doc_id", "n_words")
+    return texts.select("doc_id", "text", "toxic").mapInArrow(_texts_to_words, "doc_id long, toxic int, words array<string>, sketch array<long>")
 
 
 def fit_cumulative_link(rows: list[list[int]], grades: np.ndarray, width: int, levels: int, ridge: float = 0.02, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
@@ -99,38 +90,56 @@ def fit_cumulative_link(rows: list[list[int]], grades: np.ndarray, width: int, l
     return params[:width], params[width] + np.concatenate([[0], np.cumsum(np.exp(params[width + 1 :]))])
 
 
-def train(df: DataFrame, labels: DataFrame, sample: int = 12_000, least: int = 5, z: float = 4.0) -> dict:
-    """{"weights": {word: weight}, "theta": [..]}; a model that rejects nothing where no toxic text is labelled."""
-    n, toxic_n, docs, toxic_docs, rows, seen = 0, 0, Counter(), Counter(), [], set()
-    for row in labelled_sample(df, labels, sample).toLocalIterator():
+def _without_copies(sample: DataFrame) -> DataFrame:
+    """The sampled rows but those that share a minimum hash with an earlier one. Ids and sketches (at most the sample) pass the driver."""
+    seen: set = set()
+    kept = []
+    for row in sample.select("doc_id", "sketch").orderBy("doc_id", "sketch").toLocalIterator():
         marks = set(enumerate(row.sketch))
-        if marks & seen:
-            continue
-        seen |= marks
-        n += 1
-        words = [sys.intern(w) for w in row.words]
-        docs.update(features(words))
-        rows.append((int(row.toxic > 0), words))
-        if row.toxic > 0:
-            toxic_n += 1
-            toxic_docs.update(features(words))
+        if not marks & seen:
+            kept.append((row.doc_id, row.sketch))
+            seen |= marks
+    ids = sample.sparkSession.createDataFrame(kept, "doc_id long, sketch array<long>")
+    return sample.join(F.broadcast(ids), ["doc_id", "sketch"])
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array([list(features(w)) for w in batch["words"].to_pylist()], pa.list_(pa.string()))], names=["toxic", "features"])
+
+
+def _selected(strong: dict[str, float]):
+    """Indices of a row's selected features, and how many of its words are over-represented in toxic texts."""
+    vocabulary = {f: i for i, f in enumerate(sorted(strong))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch["words"].to_pylist()
+            hits = [sum(max((strong.get(f, 0) for f in features([w])), default=0) > 0 for w in words) for words in rows]
+            indices = [sorted(vocabulary[f] for f in features(words) if f in vocabulary) for words in rows]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(indices, pa.list_(pa.int32())), pa.array(hits, pa.int32())], names=["doc_id", "toxic", "indices", "hits"])
+
+    return run
+
+
+def train(df: DataFrame, labels: DataFrame, sample: int = 12_000, least: int = 5, z: float = 4.0) -> dict:
+    """{"weights": {feature: weight}, "theta": [..]}; a model that rejects nothing where no toxic text is labelled."""
+    rows = staged(_without_copies(staged(labelled_sample(df, labels, sample))))
+    toxic = (F.col("toxic") > 0).cast("int")
+    n, toxic_n = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(toxic), F.lit(0))).first()
     if not toxic_n or toxic_n == n:
         return {"weights": {}, "theta": [40.0, 41.0]}
-    strong = {}
-    for w, d in docs.items():
-        a, c = toxic_docs[w] + 0.5, d - toxic_docs[w] + 0.5
-        b, e = toxic_n - toxic_docs[w] + 0.5, n - toxic_n - (d - toxic_docs[w]) + 0.5
-        odds = math.log(a * e / (b * c))
-        if d >= least and abs(odds) > z * math.sqrt(1 / a + 1 / b + 1 / c + 1 / e):
-            strong[w] = odds
-    vocabulary = {w: i for i, w in enumerate(sorted(strong))}
-    strong_word = lambda w: max(strong.get(f, 0) for f in features([w])) > 0
-    hits = [sum(map(strong_word, words)) if y else 0 for y, words in rows]
-    middle = float(np.median([h for h, (y, _) in zip(hits, rows, strict=True) if y]))
-    grades = np.array([y + (y and h > middle) for h, (y, _) in zip(hits, rows, strict=True)])
-    indices = [sorted(vocabulary[f] for f in features(words) if f in vocabulary) for _, words in rows]
-    weights, theta = fit_cumulative_link(indices, grades, len(vocabulary), 3)
-    return {"weights": {w: float(weights[i]) for w, i in vocabulary.items()}, "theta": [float(x) for x in theta]}
+    each = rows.mapInArrow(_features, "toxic int, features array<string>").select(toxic.alias("y"), F.explode("features").alias("feature"))
+    counts = each.groupBy("feature").agg(F.count(F.lit(1)).alias("d"), F.sum("y").alias("t")).where(F.col("d") >= least)
+    a, c = F.col("t") + 0.5, F.col("d") - F.col("t") + 0.5
+    b, e = toxic_n + 1 - a, n - toxic_n + 1 - c
+    odds = counts.withColumn("odds", F.log(a * e / (b * c))).where(F.abs("odds") > z * F.sqrt(1 / a + 1 / b + 1 / c + 1 / e))
+    strong = {r.feature: r.odds for r in odds.collect()}
+    picked = sorted(rows.mapInArrow(_selected(strong), "doc_id long, toxic int, indices array<int>, hits int").collect())
+    middle = float(np.median([r.hits for r in picked if r.toxic > 0]))
+    grades = np.array([int(r.toxic > 0) + int(r.toxic > 0 and r.hits > middle) for r in picked])
+    weights, theta = fit_cumulative_link([r.indices for r in picked], grades, len(strong), 3)
+    return {"weights": {w: float(weights[i]) for i, w in enumerate(sorted(strong))}, "theta": [float(x) for x in theta]}
 
 
 def _score(model: str):
@@ -140,7 +149,7 @@ def _score(model: str):
         for batch in batches:
             scores = []
             for text in batch["text"].to_pylist():
-                found = features(w.strip(_TRIM) for w in set(text.lower().split())).intersection(weight)
+                found = features(word_set(text)).intersection(weight)
                 scores.append(sum(map(weight.__getitem__, sorted(found))))
             above = 1 / (1 + np.exp(-np.clip(np.array(scores, float)[:, None] - theta, -40, 40)))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.round(above.sum(axis=1), 6)), pa.array((above >= 0.5).sum(axis=1).astype(np.int32))], names=["doc_id", "expected_severity", "grade"])

@@ -74,7 +74,7 @@ def uniform(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def calibrated(df: DataFrame, power: float = 0.85, seed: int = 17, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+def calibrated(df: DataFrame, power: float = 0.95, seed: int = 17, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """One row per row: doc_id, source, lang, topic, tokens, ratio (calibrated over own weight), probability, sampled."""
     rows = with_cells(df)
     cells = staged(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("w0")))
@@ -88,7 +88,7 @@ def calibrated(df: DataFrame, power: float = 0.85, seed: int = 17, targets: dict
     return out.select("doc_id", *DIMENSIONS, "tokens", F.round("ratio", 6).alias("ratio"), F.round(probability, 6).alias("probability"), (uniform(F.col("doc_id"), seed) < probability).alias("sampled"))
 
 
-def mixed(df: DataFrame, power: float = 0.85, seed: int = 17, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+def mixed(df: DataFrame, power: float = 0.95, seed: int = 17, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """The sampled rows of df, all columns kept."""
     text = text_of(df)
     named = {"_source": F.coalesce(F.col("source").cast("string"), F.lit("?")), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("?")), "_topic": topic_of(text)}
@@ -115,9 +115,9 @@ WITH RECURSIVE docs AS (
     CASE WHEN coalesce(text, '') = '' THEN 0 ELSE length(text) - length(replace(text, ' ', '')) + 1 END AS tokens
   FROM documents),
 cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS w0 FROM docs GROUP BY ALL),
-ts AS (SELECT source, pow(sum(w0), 0.85) AS raw FROM cells GROUP BY 1),
-tl AS (SELECT lang, pow(sum(w0), 0.85) AS raw FROM cells GROUP BY 1),
-tt AS (SELECT topic, pow(sum(w0), 0.85) AS raw FROM cells GROUP BY 1),
+ts AS (SELECT source, pow(sum(w0), 0.95) AS raw FROM cells GROUP BY 1),
+tl AS (SELECT lang, pow(sum(w0), 0.95) AS raw FROM cells GROUP BY 1),
+tt AS (SELECT topic, pow(sum(w0), 0.95) AS raw FROM cells GROUP BY 1),
 want AS (
   SELECT cells.*, ts.raw / (SELECT sum(raw) FROM ts) AS a, tl.raw / (SELECT sum(raw) FROM tl) AS b, tt.raw / (SELECT sum(raw) FROM tt) AS c
   FROM cells JOIN ts USING (source) JOIN tl USING (lang) JOIN tt USING (topic)),

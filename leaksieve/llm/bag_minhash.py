@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leaksieve.llm.components import connected
-from leaksieve.llm.tables import staged, text_of
+from leaksieve.llm.tables import small_side, staged, text_of
 
 BANDS, ROWS = 30, 5
 SLOTS = BANDS * ROWS
@@ -199,7 +199,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8) -> DataFrame:
     pivots = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"), "n")).alias("top")).select("key", (-F.col("top.minus")).alias("b"), F.col("top.n").alias("nb"))
     star = crowded.join(pivots, "key").select(F.col("id").alias("a"), F.col("n").alias("na"), "b", "nb").where(F.col("a") != F.col("b")).where(_alike(threshold))
     star = staged(star.select("a", "b").distinct())
-    of = lambda ids: texts.join(ids, texts["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_multisets, "id long, bag binary")
+    of = lambda ids: texts.join(small_side(staged(ids)).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_multisets, "id long, bag binary")
     bags = staged(of(star.select(F.col("a").alias("id")).union(star.select("b")).distinct()))
     links = _linked(star, bags, threshold)
     links = links.unionByName(_across(crowded, links, of, threshold))
@@ -236,5 +236,5 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_near_duplicates(df: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of df whose document stays: one doc_id of each class (every row of it), and rows without an id."""
-    gone = near_duplicates(df, threshold).where(~F.col("stays")).select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = staged(near_duplicates(df, threshold).where(~F.col("stays")).select(F.col("doc_id").alias("_gone")).distinct())
+    return df.join(small_side(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

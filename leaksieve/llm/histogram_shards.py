@@ -33,7 +33,7 @@ def text_key(text: Column) -> Column:
 
 
 def _prefix(bits: list[int], depth: int) -> Column:
-    """The first ``depth`` bits of the concatenated key columns k0, k1.. as a string-free pair: one long per column."""
+    """The first ``depth`` bits of the concatenated key columns k0, k1..: one long per column."""
     parts, left = [], depth
     for i, b in enumerate(bits):
         take = min(b, max(left, 0))
@@ -42,16 +42,6 @@ def _prefix(bits: list[int], depth: int) -> Column:
     return F.struct(*(p.alias(f"p{i}") for i, p in enumerate(parts)))
 
 
-def _up(bits: list[int], cell: Column, depth: int, shallower: int) -> Column:
-    """The shallower prefix of a prefix."""
-    parts, left, less = [], depth, shallower
-    for i, b in enumerate(bits):
-        take, keep = min(b, max(left, 0)), min(b, max(less, 0))
-        parts.append(F.shiftright(cell[f"p{i}"], take - keep))
-        left, less = left - b, less - b
-    return F.struct(*(p.alias(f"p{i}") for i, p in enumerate(parts)))
-
-
 def splitters(rows: DataFrame, bits: list[int], targets: list[int], tolerance: int) -> list[dict]:
     """For each wanted byte offset the settled edge: {"depth", "cell", "bytes", "rows"}: all rows below the cell come before it.
 

@@ -137,7 +137,7 @@ def _model(grp: str, start: int, mean: np.ndarray, cov: np.ndarray, rows: int) -
     return {"grp": grp, "start": start, "mean": mean, "inv": np.linalg.inv(cov).ravel(), "logdet": float(np.linalg.slogdet(cov)[1]), "rows": rows}
 
 
-def _distance(model: str = "") -> Column:
+def _distance() -> Column:
     d = [F.col(x) - F.col("mean")[i] for i, x in enumerate(_X)]
     return reduce(lambda a, b: a + b, ((1 if i == j else 2) * d[i] * d[j] * F.col("inv")[i * P + j] for i, j in _PAIRS))
 

@@ -8,16 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Path of the public tokenizers' package file is looked up lazily: see tokenizer_path().
+
+#: Folders made by this process for applications that name none, by application id.
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a new temporary one where that is unset (tests)."""
+    """The folder named in spark.checkpoint.dir; a new temporary one of this process where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        base = _own[app]
     return base.rstrip("/")
 
 

@@ -29,6 +29,8 @@ from leaksieve.llm.tables import small_side, staged, text_of
 
 BANDS, ROWS = 30, 5
 SLOTS = BANDS * ROWS
+#: Cells of a shingle profile: the sum of the smaller counts of two profiles is at least their overlap.
+PROFILE = 128
 #: Shingles whose signatures are computed together.
 CHUNK = 200_000
 _U = np.uint64
@@ -147,7 +149,8 @@ def _multisets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
         found = [shingles(t, hashes)[1:] for t in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([np.repeat(e, c).tobytes() for e, c in found], pa.binary())], names=["id", "bag"])
+        profiles = [np.bincount((e % _U(PROFILE)).astype(np.int64), weights=c, minlength=PROFILE).astype(np.int32) for e, c in found]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([np.repeat(e, c).tobytes() for e, c in found], pa.binary()), pa.array(profiles, pa.list_(pa.int32()))], names=["id", "bag", "profile"])
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -199,7 +202,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8) -> DataFrame:
     pivots = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"), "n")).alias("top")).select("key", (-F.col("top.minus")).alias("b"), F.col("top.n").alias("nb"))
     star = crowded.join(pivots, "key").select(F.col("id").alias("a"), F.col("n").alias("na"), "b", "nb").where(F.col("a") != F.col("b")).where(_alike(threshold))
     star = staged(star.select("a", "b").distinct())
-    of = lambda ids: texts.join(small_side(staged(ids)).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_multisets, "id long, bag binary")
+    of = lambda ids: texts.join(small_side(staged(ids)).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_multisets, "id long, bag binary, profile array<int>")
     bags = staged(of(star.select(F.col("a").alias("id")).union(star.select("b")).distinct()))
     links = _linked(star, bags, threshold)
     links = links.unionByName(_across(crowded, links, of, threshold))
@@ -217,13 +220,16 @@ def _across(crowded: DataFrame, links: DataFrame, of, threshold: float) -> DataF
     torn = named.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("label").alias("l0"), F.max("label").alias("l1")).where((F.col("l0") != F.col("l1")) & (F.col("held") > 2)).select("key")
     named = staged(named.join(torn, "key"))
     bags = staged(of(named.select("id").distinct()))
-    each = bags.mapInArrow(_explode, "id long, shingle long, times long")
+    each = bags.select("id", "bag").mapInArrow(_explode, "id long, shingle long, times long")
     common = each.groupBy("shingle").agg(F.min("id").alias("i0"), F.max("id").alias("i1")).where(F.col("i0") != F.col("i1")).select("shingle")
     shared = each.join(common, "shingle").groupBy("id").agg(F.sum("times").alias("shared"))
-    left = named.join(shared, "id").where(F.col("shared") >= threshold * F.col("n"))
-    a = left.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    b = left.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    pairs = a.join(b, "key").where((F.col("la") > F.col("lb")) & _alike(threshold)).select("a", "b").distinct()
+    left = named.join(shared, "id").where(F.col("shared") >= threshold * F.col("n")).join(bags.select("id", "profile"), "id")
+    side = lambda s: [F.col(c).alias(t + s) for c, t in (("key", "k"), ("id", ""), ("n", "n"), ("label", "l"), ("profile", "p"))]
+    # the join tests what the overlap can be at most, so pairs that can't be links don't become rows
+    most = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
+    enough = most >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-6
+    may = F.when((F.col("la") > F.col("lb")) & _alike(threshold), enough).otherwise(False)
+    pairs = left.select(*side("a")).join(left.select(*side("b")), (F.col("ka") == F.col("kb")) & may).select("a", "b").distinct()
     return _linked(staged(pairs), bags, threshold)
 
 

@@ -1,0 +1,44 @@
+"""Links of the edit join among crowded buckets, against brute force."""
+
+import itertools
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from leaksieve.llm import line_edit_join
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cross_links_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    head = "the same first third of it "  # one bucket for all: its pivot is unrelated to most lines
+    bodies = ["".join(rng.choice("stea st") for _ in range(54)) for _ in range(12)]
+    lines = {head + b for b in bodies}
+    for b in bodies:
+        for _ in range(3):
+            text = list(b)
+            for at in rng.sample([i for i, c in enumerate(text) if c in "st "], 2):
+                text[at] = {"s": "t", "t": " ", " ": "s"}[text[at]]
+            lines.add(head + "".join(text))
+    lines = sorted(lines)
+    # a label of its own for each line: every pair is left to the cross join
+    left = spark.createDataFrame([(i, i, x) for i, x in enumerate(lines)], "id long, label long, text string")
+    got = {tuple(sorted((r.a, r.b))) for r in line_edit_join._cross_links(left, 2).collect()}
+    want = {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(lines), 2) if abs(len(a) - len(b)) <= 2 and levenshtein(a, b) <= 2}
+    assert len(want) >= 30 and got == want
+
+
+def test_counted_classes_are_disjoint(spark):
+    chars = spark.createDataFrame([(chr(c),) for c in (*range(9, 14), *range(32, 127), 233, 160)], "c string")
+    hits = sum((F.regexp_count("c", F.lit(f"[{c}]")) for c in line_edit_join.COUNTED), F.lit(0))
+    assert chars.select("c", hits.alias("n")).where("n > 1").collect() == []

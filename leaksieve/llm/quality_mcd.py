@@ -3,7 +3,7 @@
 Each text gives a vector of transformed statistics. Rows that pass the base rules are grouped by language and source
 (groups below ``least`` rows join their language's pool, and pools below it one common pool). Each group's location and
 scatter come from concentration steps started from two deterministic estimates (median with interquartile scales, and
-the spatial sign covariance); a step keeps the half of the rows with the smallest distances, counted exactly from
+the spatial sign covariance); a step keeps the (n + p + 1) / 2 rows with the smallest distances, counted exactly from
 logarithmic distance bins with all rows of the bin that crosses the half. The start with the smaller determinant wins,
 is made consistent for normal data, reweighted once, and rows beyond the cutoff distance are rejected.
 
@@ -33,8 +33,9 @@ from leaksieve.llm.tables import staged, text_of
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_lines", "n_capitals", "n_marks")
 #: Transformed statistics and the least scale of each: log words, log mean word length, and square roots of the shares
-#: of symbols, repeated lines, repeated words, ASCII capitals and punctuation marks.
-SCALES = {"log_words": 0.5, "log_word_chars": 0.12, "symbols": 0.04, "dup_lines": 0.2, "repeats": 0.2, "capitals": 0.1, "marks": 0.1}
+#: of symbols, repeated lines, repeated words, ASCII capitals and punctuation marks. At the floor, each share's range end is
+#: beyond the cutoff by itself; repeated words end at a half, where the base rules begin.
+SCALES = {"log_words": 0.5, "log_word_chars": 0.12, "symbols": 0.04, "dup_lines": 0.12, "repeats": 0.1, "capitals": 0.1, "marks": 0.1}
 P = len(SCALES)
 _CAPITALS, _MARKS = bytes(range(65, 91)), b"!?.,;:\"'()"
 _SPACE = b"\x20\t\n\x0b\x0c\r"
@@ -159,7 +160,7 @@ def _concentrate(half: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("bin")
         total = rows["n"].sum()
-        kept = rows[rows["n"].cumsum() - rows["n"] < math.ceil(half * total)]
+        kept = rows[rows["n"].cumsum() - rows["n"] < max(math.ceil(half * total), (total + P + 1) // 2)]
         n, mean, cov = _moments(kept)
         return pd.DataFrame([_model(rows["grp"].iloc[0], int(rows["start"].iloc[0]), mean, cov, n)])
 
@@ -199,7 +200,7 @@ def _sign_start(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([_model(first["grp"], 1, np.array(first["mean"]), corr * np.outer(scale, scale), n)])
 
 
-def mcd_models(rows: DataFrame, half: float = 0.75, steps: int = 6) -> DataFrame:
+def mcd_models(rows: DataFrame, half: float = 0.5, steps: int = 6) -> DataFrame:
     """grp, mean, inv, logdet: one model for each group of rows (grp, x0..)."""
     cells = rows.select("grp", F.posexplode(F.array(*(F.floor(F.col(x) * 16) for x in _X))).alias("axis", "cell"))
     first = staged(cells.groupBy("grp", "axis", "cell").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").applyInPandas(_start, _MODEL))
@@ -218,7 +219,7 @@ def mcd_models(rows: DataFrame, half: float = 0.75, steps: int = 6) -> DataFrame
     return staged(inner.groupBy("grp", "start").agg(*_sums()).groupBy("grp", "start").applyInPandas(_reweighted(half), _MODEL))
 
 
-def mcd_quality(df: DataFrame, least: int = 200, tail: float = 1e-6, half: float = 0.75) -> DataFrame:
+def mcd_quality(df: DataFrame, least: int = 200, tail: float = 1e-6, half: float = 0.5) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and the squared distance (null where the base rules failed).
 
     kept is false for texts that fail the base rules and for those whose squared distance from their group's estimate

@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from leaksieve.functions.rules import DEFAULT_ROTATION, Rule, any_anchor, literal_rules, rules_table
 from leaksieve.functions.text import masked
 
-#: A string is scanned up to this many code points.
-LENGTH_CAP = 1_000_000
 OPEN, CLOSE = "\ue000", "\ue001"
 HIT = "struct<start:int,idx:int,end:int,value:string>"
 
@@ -86,10 +84,15 @@ def without_overlaps(hits: Column) -> Column:
     return F.when(F.size(hits) < 2, hits).otherwise(F.aggregate(F.array_sort(hits), empty, step))
 
 
-def with_hits(df: DataFrame, column: str, rules: Sequence[Rule], name: str = "hits", exact: bool = True, more: Column | None = None) -> DataFrame:
-    """df with an array of (start, idx, end, value), overlaps resolved, for a string column. more: hits of other detectors."""
+def with_hits(df: DataFrame, column: str, rules: Sequence[Rule], name: str = "hits", exact: bool = True, more: Column | None = None, cap: int | None = None) -> DataFrame:
+    """df with an array of (start, idx, end, value), overlaps resolved, for a string column. more: hits of other detectors.
+
+    cap: a string is scanned up to this many code points (None: all of it).
+    """
     rules = [r for r in rules if r.pattern]
-    value = F.substring(F.coalesce(F.col(column), F.lit("")), 1, LENGTH_CAP)
+    value = F.coalesce(F.col(column), F.lit(""))
+    if cap is not None:
+        value = F.substring(value, 1, cap)
     staged = df.withColumn("_v", value).withColumn("_low", F.lower("_v")).withColumn("_tried", triggered(F.col("_v"), F.col("_low"), rules))
     some = F.size("_tried") > 0
     wide = F.col("_v").rlike(f"[^\\x00-\\x7F]|[\\x1c-\\x1f]|[{OPEN}{CLOSE}]") & some

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leaksieve.llm import bag_minhash, histogram_shards, line_edit_join, mpeg_audio, packing, raking
+from leaksieve.llm import bag_minhash, histogram_shards, line_edit_join, mpeg_audio, packing
 from leaksieve.llm.components import connected
 from leaksieve.llm.tables import tokenizer_path
 
@@ -199,26 +199,6 @@ def test_near_duplicates_equal_brute_force(spark):
     assert bag_minhash.near_duplicates(df.where("false")).count() == 0
 
 
-def test_raking_meets_the_marginals(spark):
-    rng = random.Random(11)
-    rows = [(s, g, t, rng.randrange(1, 500)) for s in "abcde" for g in "xyz" for t in ("p", "q")]
-    cells = spark.createDataFrame(rows, "source string, lang string, topic string, w0 long")
-    want = {"source": {s: (i + 1) / 15 for i, s in enumerate("abcde")}, "lang": {"x": 0.5, "y": 0.3, "z": 0.2}, "topic": {"p": 0.25, "q": 0.75}}
-    got = raking.rake(cells, {d: spark.createDataFrame(list(v.items()), "value string, share double") for d, v in want.items()}).toPandas()
-    for d, shares in want.items():
-        sums = got.groupby(d).w.sum()
-        assert all(abs(sums[k] - v) < 1e-8 for k, v in shares.items())
-
-
-def test_mixing_handles_odd_rows(spark):
-    df = frame(spark, [f"word {'x ' * (i % 50)}" for i in range(600)] + ODD, sources=("a", "a", "a", "b", None))
-    rows = raking.calibrated(df).collect()
-    assert len(rows) == 600 + len(ODD) and max(r.probability for r in rows) == 1.0
-    taken = sorted(r.doc_id for r in rows if r.sampled)
-    assert taken == sorted(r.doc_id for r in raking.mixed(df).collect()) and raking.mixed(df).columns == df.columns
-    assert raking.calibrated(df.where("false")).count() == 0
-
-
 def test_local_search_empties_sequences():
     rng = np.random.default_rng(12)
     for _ in range(30):

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leaksieve.llm import bag_minhash, histogram_shards, line_edit_join, mpeg_audio, packing
+from leaksieve.llm import bag_minhash, histogram_shards, mpeg_audio, packing
 from leaksieve.llm.components import connected
 from leaksieve.llm.tables import tokenizer_path
 
@@ -108,53 +108,6 @@ def test_shards_follow_the_bytes(spark, shards, range_rows):
     assert histogram_shards.shard_documents(frame(spark, texts).where("false")).count() == 0
 
 
-def _distance_within(a, b, k):
-    if abs(len(a) - len(b)) > k:
-        return False
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row, last = [i, *[0] * len(b)], row
-        for j, y in enumerate(b, 1):
-            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-    return row[-1] <= k
-
-
-def test_line_dedup_equals_brute_force(spark):
-    rng = random.Random(8)
-    base = ["".join(rng.choice("abcdef é") for _ in range(rng.randrange(24, 60))).strip() for _ in range(12)]
-
-    def edited(line):
-        for _ in range(rng.randrange(4)):
-            p = rng.randrange(len(line))
-            line = line[:p] + rng.choice(["", "z", "zq"]) + line[p + rng.randrange(2) :]
-        return line
-
-    texts = ["\n".join(rng.choice([edited(rng.choice(base)), rng.choice(base), "short", "", "exactly ten"]) for _ in range(6)) for _ in range(40)] + ODD
-    df = frame(spark, texts).unionByName(frame(spark, [base[0]]).withColumn("doc_id", F.lit(None).cast("long")))
-    every = [(i, k, x.strip(" \t\r")) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n"))]
-    every = [x for x in every if len(x[2]) >= 10]
-    first = {}
-    for i, k, x in every:
-        first.setdefault(x, (i, k))
-    near = sorted((x for x in first if len(x) >= 24), key=first.get)
-    links = [(b, a) for n, a in enumerate(near) for b in near[n + 1 :] if len(a) < 1000 and _distance_within(a, b, 2)]
-    number = {x: n for n, x in enumerate(near)}
-    head = components(range(len(near)), [(number[a], number[b]) for a, b in links])
-    want = collections.defaultdict(list)
-    for i, k, x in every:
-        stays = first[near[head[number[x]]]] if x in number else first[x]
-        if (i, k) != stays:
-            want[i].append((k, *stays))
-    rows = line_edit_join.line_report(df).collect()
-    got = {r.doc_id: [(x.line, x.first_doc, x.first_line) for x in r.removed] for r in rows if r.n_removed}
-    assert len(rows) == len(texts) + 1 and links and got == dict(want)
-    kept = {r.doc_id: r for r in line_edit_join.without_repeated_lines(df).collect()}
-    for i, t in enumerate(texts):
-        gone = {x[0] for x in want.get(i, [])}
-        assert kept[i].text == (t if t is None or not gone else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone))
-    assert kept[None].text == base[0] and line_edit_join.line_report(df.where("false")).count() == 0
-
-
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(9)
     elements = rng.integers(1, 2**63, 300).astype(np.uint64)

@@ -6,17 +6,20 @@ level. A text keeps, per slot, the earliest point whose level lies below its wei
 probability equal to the weighted Jaccard similarity. A process stops as soon as its times pass the largest kept one.
 
 Texts with equal words are one class from the start. Bands of the signature make candidates; in each bucket the members
-are compared with the member that shares most buckets (multiset overlap of all shingles, exactly), links make classes,
-and only pairs across classes that still share a bucket are compared further. A text of which less than the
-threshold's share of shingles occurs in any other candidate can't have a link and leaves before that.
+are compared with the member that shares most buckets (multiset overlap of all shingles, exactly), and links make classes.
+Of members of different classes that still share a bucket, those pairs are compared whose whole signatures agree in as many
+slots as all but about one in 30,000 pairs at the threshold do. A pair that shares several buckets is listed once.
 
 Defined results: a null text is empty; texts without words are equal to each other; a text of one to four words has one
-shingle, all its words; a row with a null doc_id is a class of its own; repeated rows fall in one class; other columns
-are kept by ``without_near_duplicates``; an empty table gives an empty result.
+shingle, all its words; a row with a null doc_id is a class of its own; repeated rows fall in one class and stay or go
+together; different texts under one doc_id are different documents (the class is named by the least doc_id, and of its rows
+under that doc_id the one with the least text hash stays); other columns are kept by ``without_near_duplicates``; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leaksieve.llm.components import connected
-from leaksieve.llm.tables import small_side, staged, text_of
+from leaksieve.llm.tables import staged, text_of
 
 BANDS, ROWS = 30, 5
 SLOTS = BANDS * ROWS
+#: Slots, one byte each, in words of seven (sums of an eighth would overflow a signed word).
+WORDS = -(-SLOTS // 7)
 #: Cells of a shingle profile: the sum of the smaller counts of two profiles is at least their overlap.
-PROFILE = 128
+PROFILE = 256
 #: Shingles whose signatures are computed together.
 CHUNK = 200_000
 _U = np.uint64
@@ -116,27 +121,40 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def content(words: np.ndarray) -> tuple[int, int]:
+    """Two hashes of the sequence of words."""
+    place = np.arange(1, len(words) + 1, dtype=_U) * _GOLD
+    return int(mix(words + place).sum().astype(np.int64)), int(mix(words ^ (place * place)).sum().astype(np.int64))
+
+
+def slot_bytes(signature: np.ndarray) -> np.ndarray:
+    """n x WORDS words: a byte of each slot's hash."""
+    out = np.zeros((len(signature), WORDS, 8), np.uint8)
+    bits = (mix(np.ascontiguousarray(signature).view(_U).reshape(-1, SLOTS)) >> _U(56)).astype(np.uint8)
+    out[:, :, :7] = np.pad(bits, ((0, 0), (0, 7 * WORDS - SLOTS))).reshape(-1, WORDS, 7)
+    return out.reshape(-1, 8 * WORDS).view("<i8")
+
+
+_SIGNED = "doc_id long, mark long, h1 long, h2 long, n long, bands array<long>, slots array<long>"
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
 
     def out(rows: list) -> pa.RecordBatch:
-        sizes = [len(e) for _, _, e, _ in rows]
-        sig = signatures(np.concatenate([e for _, _, e, _ in rows]), np.concatenate([c for *_, c in rows]), np.repeat(np.arange(len(rows)), sizes), len(rows))
+        sizes = [len(r[3]) for r in rows]
+        sig = signatures(np.concatenate([r[3] for r in rows]), np.concatenate([r[4] for r in rows]), np.repeat(np.arange(len(rows)), sizes), len(rows))
         keys = [k if s else [] for k, s in zip(band_keys(sig), sizes, strict=True)]
-        whole = []
-        for _, w, *_ in rows:
-            place = np.arange(1, len(w) + 1, dtype=_U) * _GOLD
-            whole.append([int(mix(w + place).sum().astype(np.int64)), int(mix(w ^ (place * place)).sum().astype(np.int64))])
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([x[0] for x in whole], pa.int64()), pa.array([x[1] for x in whole], pa.int64()), pa.array([int(r[3].sum()) for r in rows], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-            names=["doc_id", "h1", "h2", "n", "bands"],
-        )
+        whole = [content(r[2]) for r in rows]
+        longs = [[r[0] for r in rows], [r[1] for r in rows], [x[0] for x in whole], [x[1] for x in whole], [int(r[4].sum()) for r in rows]]
+        lists = pa.list_(pa.int64())
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in longs), pa.array(keys, lists), pa.array(list(slot_bytes(sig)), lists)], names=["doc_id", "mark", "h1", "h2", "n", "bands", "slots"])
 
     for batch in batches:
         rows, held = [], 0
-        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+        for doc_id, mark, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "mark", "text")), strict=True):
             w, e, c = shingles(text, hashes)
-            rows.append((doc_id, w, e, c))
+            rows.append((doc_id, mark, w, e, c))
             held += len(e) + 100
             if held > CHUNK:
                 yield out(rows)
@@ -148,9 +166,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _multisets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
-        found = [shingles(t, hashes)[1:] for t in batch["text"].to_pylist()]
-        profiles = [np.bincount((e % _U(PROFILE)).astype(np.int64), weights=c, minlength=PROFILE).astype(np.int32) for e, c in found]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([np.repeat(e, c).tobytes() for e, c in found], pa.binary()), pa.array(profiles, pa.list_(pa.int32()))], names=["id", "bag", "profile"])
+        found = [shingles(t, hashes) for t in batch["text"].to_pylist()]
+        h1 = [content(w)[0] for w, *_ in found]
+        profiles = [np.bincount((e % _U(PROFILE)).astype(np.int64), weights=c, minlength=PROFILE).astype(np.int32) for _, e, c in found]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(h1, pa.int64()), pa.array([np.repeat(e, c).tobytes() for _, e, c in found], pa.binary()), pa.array(profiles, pa.list_(pa.int32()))], names=["doc_id", "h1", "bag", "profile"])
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -186,61 +205,99 @@ def _alike(threshold: float):
     return F.least("na", "nb") >= threshold * F.greatest("na", "nb")
 
 
-def near_duplicates(df: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """One row per row: doc_id, class_id (the least doc_id of the class), n_shingles, stays (the class's first document)."""
+def _classed(df: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, mark (a hash of the text), class_id, n_shingles, stays; one row per row."""
     texts = df.select(F.col("doc_id").cast("long"), text_of(df).alias("text"))
-    signed = staged(texts.mapInArrow(_sign, "doc_id long, h1 long, h2 long, n long, bands array<long>"))
-    known = signed.where(F.col("doc_id").isNotNull())
-    copies = known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    member = staged(known.select("doc_id", "h1", "h2", "n").join(copies, ["h1", "h2", "n"]).select("doc_id", "n", "rep"))
-    firsts = known.join(member.where(F.col("doc_id") == F.col("rep")).select(F.col("doc_id"), "rep").distinct(), "doc_id")
-    entries = firsts.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key")).distinct()
+    signed = staged(texts.withColumn("mark", F.xxhash64("text")).mapInArrow(_sign, _SIGNED))
+    known, same = signed.where(F.col("doc_id").isNotNull()), ["h1", "h2", "n"]
+    copies = known.groupBy(*same).agg(F.min(F.struct("doc_id", "mark")).alias("least"))
+    # a text is named by the least doc_id that has it, or by its hashes where that names another text already
+    owner = copies.groupBy("least.doc_id").agg(F.min(F.struct("h1", "h2")).alias("owner"))
+    hashes = F.struct("h1", "h2")
+    named = copies.withColumn("doc_id", F.col("least.doc_id")).join(owner, "doc_id").withColumn("id", F.when(hashes == F.col("owner"), F.col("doc_id")).otherwise(F.xxhash64(*same, "doc_id")))
+    member = staged(known.select("doc_id", "mark", *same).join(named.select(*same, "least", "id"), same))
+    first = (F.col("doc_id") == F.col("least.doc_id")) & (F.col("mark") == F.col("least.mark"))
+    reps = staged(member.where(first).select("doc_id", "mark", "h1", "n", "id", "least").dropDuplicates(["id"]))
+    signs = staged(signed.select("doc_id", "mark", "bands", "slots").join(reps.drop("least"), ["doc_id", "mark"]).dropDuplicates(["id"]))
+    links = _links(texts, signs, threshold)
+    labels = connected(links)
+    groups = labels.join(reps.select(F.col("id").alias("node"), "least"), "node").groupBy("label").agg(F.min("least").alias("head"))
+    heads = staged(labels.join(groups, "label").select(F.col("node").alias("id"), "head"))
+    out = member.join(heads, "id", "left").withColumn("head", F.coalesce("head", "least"))
+    stays = (F.col("doc_id") == F.col("head.doc_id")) & (F.col("mark") == F.col("head.mark"))
+    classed = out.select("doc_id", "mark", F.col("head.doc_id").alias("class_id"), F.col("n").alias("n_shingles"), stays.alias("stays"))
+    lone = signed.where(F.col("doc_id").isNull()).select("doc_id", "mark", F.lit(None).cast("long").alias("class_id"), F.col("n").alias("n_shingles"), F.lit(True).alias("stays"))
+    return classed.unionByName(lone)
+
+
+def _links(texts: DataFrame, signs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of ids: links that give the classes. signs: doc_id, mark, h1, n, id, bands and slots of every different text."""
+    entries = signs.select("id", "n", F.explode_outer("bands").alias("key")).where(F.col("key").isNotNull()).distinct()
     held = entries.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > 1)
     crowded = staged(entries.join(held, "key"))
     score = crowded.groupBy("id").agg(F.sum("held").alias("score"))
-    scored = crowded.join(score, "id")
-    pivots = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"), "n")).alias("top")).select("key", (-F.col("top.minus")).alias("b"), F.col("top.n").alias("nb"))
+    pivots = crowded.join(score, "id").groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"), "n")).alias("top")).select("key", (-F.col("top.minus")).alias("b"), F.col("top.n").alias("nb"))
     star = crowded.join(pivots, "key").select(F.col("id").alias("a"), F.col("n").alias("na"), "b", "nb").where(F.col("a") != F.col("b")).where(_alike(threshold))
     star = staged(star.select("a", "b").distinct())
-    of = lambda ids: texts.join(small_side(staged(ids)).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_multisets, "id long, bag binary, profile array<int>")
-    bags = staged(of(star.select(F.col("a").alias("id")).union(star.select("b")).distinct()))
-    links = _linked(star, bags, threshold)
-    links = links.unionByName(_across(crowded, links, of, threshold))
-    labels = connected(links)
-    classed = member.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("class_id"))
-    lone = signed.where(F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("class_id"))
-    out = classed.unionByName(lone)
-    return out.select("doc_id", "class_id", "n_shingles", (F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True))).alias("stays"))
+    links = _linked(star, _bags(texts, _named(signs, star.select(F.col("a").alias("id")).union(star.select("b")))), threshold)
+    return links.unionByName(_across(texts, signs, crowded, links, threshold))
+
+
+def _named(signs: DataFrame, ids: DataFrame) -> DataFrame:
+    return staged(signs.join(ids.distinct(), "id", "left_semi").select("id", "doc_id", "h1"))
 
 
-def _across(crowded: DataFrame, links: DataFrame, of, threshold: float) -> DataFrame:
-    """Links between different classes that share a bucket, after the first comparison."""
+def _bags(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, multiset and profile of the wanted (id, doc_id, h1)."""
+    bags = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_multisets, "doc_id long, h1 long, bag binary, profile array<int>")
+    return staged(bags.join(wanted, ["doc_id", "h1"]).select("id", "bag", "profile").dropDuplicates(["id"]))
+
+
+def least_agreement(threshold: float) -> int:
+    """Equal slots that a pair at the threshold falls short of with a probability of about 3e-5 (four deviations)."""
+    return math.floor(SLOTS * threshold - 4 * math.sqrt(SLOTS * threshold * (1 - threshold)))
+
+
+def agreement(a: str, b: str):
+    """Equal bytes of two arrays of words, a word at a time: a byte is zero where neither it nor its low seven bits plus 127 carry."""
+    low, high = F.lit(0x7F7F7F7F7F7F7F), F.lit(0x80808080808080)
+
+    def different(k: int):
+        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
+        return F.bit_count((x.bitwiseAND(low) + low).bitwiseOR(x).bitwiseAND(high))
+
+    return F.lit(SLOTS) - sum((different(k) for k in range(WORDS)), F.lit(0))
+
+
+def _across(texts: DataFrame, signs: DataFrame, crowded: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """Links between different classes that share a bucket.
+
+    The join tests a pair before it becomes a row: by its lengths, by its signatures, whether this is the first bucket that it
+    shares, and by what the overlap can be at most.
+    """
     labels = connected(links)
     named = crowded.select("key", "id", "n").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     torn = named.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("label").alias("l0"), F.max("label").alias("l1")).where((F.col("l0") != F.col("l1")) & (F.col("held") > 2)).select("key")
     named = staged(named.join(torn, "key"))
-    bags = staged(of(named.select("id").distinct()))
-    each = bags.select("id", "bag").mapInArrow(_explode, "id long, shingle long, times long")
-    common = each.groupBy("shingle").agg(F.min("id").alias("i0"), F.max("id").alias("i1")).where(F.col("i0") != F.col("i1")).select("shingle")
-    shared = each.join(common, "shingle").groupBy("id").agg(F.sum("times").alias("shared"))
-    left = named.join(shared, "id").where(F.col("shared") >= threshold * F.col("n")).join(bags.select("id", "profile"), "id")
-    side = lambda s: [F.col(c).alias(t + s) for c, t in (("key", "k"), ("id", ""), ("n", "n"), ("label", "l"), ("profile", "p"))]
-    # the join tests what the overlap can be at most, so pairs that can't be links don't become rows
-    most = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
-    enough = most >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-6
-    may = F.when((F.col("la") > F.col("lb")) & _alike(threshold), enough).otherwise(False)
-    pairs = left.select(*side("a")).join(left.select(*side("b")), (F.col("ka") == F.col("kb")) & may).select("a", "b").distinct()
+    keys = named.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    bags = _bags(texts, _named(signs, named.select("id")))
+    left = named.join(keys.join(signs.select("id", "slots"), "id").join(bags.select("id", "profile"), "id"), "id")
+    side = lambda s: left.select(*(F.col(c).alias(t + s) for c, t in (("key", "k"), ("id", ""), ("n", "n"), ("label", "l"), ("keys", "all"), ("slots", "s"), ("profile", "p"))))
+    near = F.when((F.col("la") > F.col("lb")) & _alike(threshold), agreement("sa", "sb") >= least_agreement(threshold)).otherwise(False)
+    once = F.when(near, F.get(F.array_intersect("alla", "allb"), F.lit(0)) == F.col("ka")).otherwise(False)
+    most = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    enough = F.when(once, most >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-6).otherwise(False)
+    pairs = side("a").join(side("b"), (F.col("ka") == F.col("kb")) & enough).select("a", "b")
     return _linked(staged(pairs), bags, threshold)
 
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for doc, bag in zip(batch["id"].to_pylist(), batch["bag"].to_pylist(), strict=True):
-            e, c = np.unique(np.frombuffer(bag, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), doc)), pa.array(e), pa.array(c.astype(np.int64))], names=["id", "shingle", "times"])
+def near_duplicates(df: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """One row per row: doc_id, class_id (the least doc_id of the class), n_shingles, stays (it is the class's first document)."""
+    return _classed(df, threshold).select("doc_id", "class_id", "n_shingles", "stays")
 
 
 def without_near_duplicates(df: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of df whose document stays: one doc_id of each class (every row of it), and rows without an id."""
-    gone = staged(near_duplicates(df, threshold).where(~F.col("stays")).select(F.col("doc_id").alias("_gone")).distinct())
-    return df.join(small_side(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """The rows of df whose document stays: one of each class (every row of it), and rows without an id."""
+    gone = staged(_classed(df, threshold).where(~F.col("stays")).select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct())
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_of(df)).alias("mark"))
+    return rows.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left_anti").select("row.*")

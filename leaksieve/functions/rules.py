@@ -1,14 +1,12 @@
-"""The rule table: patterns for the JVM and for Python, anchors, gates and rotation texts; user packs in the same form."""
+"""The rule table: patterns, anchors, gates and rotation texts; user packs in the same form."""
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from leaksieve.functions.rule_data import CONTEXT, DIRECT, context_pattern
 
@@ -28,14 +26,17 @@ class Rule(NamedTuple):
     rotation: str | None = None
 
 
-#: Necessary conditions in the JVM's dialect: the pattern without its borders, or the flag that must follow the command.
+#: Necessary conditions: the pattern without its borders, or the flag that must follow the command.
 GATES = {
+    "private-key-pem": r"-----END",
     "twilio": r"SK[0-9a-fA-F]{32}",
-    "discord-bot-token": r"(?U)[MNO][\w-]{23,27}\.[\w-]{6,7}\.[\w-]{27,40}",
-    "telegram-bot-token": r"(?U)\d{5,16}:A[A-Za-z0-9_-]{34}",
+    "discord-bot-token": r"[MNO][\w-]{23,27}\.[\w-]{6,7}\.[\w-]{27,40}",
+    "telegram-bot-token": r"\d{5,16}:A[A-Za-z0-9_-]{34}",
     "curl-auth-header": r"(?s)curl.{0,1242}?(?:-H|--header)",
     "curl-auth-user": r"(?s)curl.{0,1242}?(?:-u|--user)",
 }
+#: Anchors of rules without a keyword: any match holds one of them in lower case.
+LITERALS = {"twilio": ("sk",), "telegram-bot-token": (":a",)}
 
 
 def keyword_anchors(keyword: str) -> tuple[str, ...]:
@@ -45,7 +46,7 @@ def keyword_anchors(keyword: str) -> tuple[str, ...]:
 
 def builtin_rules() -> list[Rule]:
     """All rules in match priority, the seed-phrase detector (which has no pattern) last."""
-    direct = [Rule(i, r, d, p, a, GATES.get(r), g) for i, r, d, p, a, g in DIRECT]
+    direct = [Rule(i, r, d, p, a or LITERALS.get(r, ()), GATES.get(r), g) for i, r, d, p, a, g in DIRECT]
     context = [Rule(i, r, d, context_pattern(k, s), keyword_anchors(k), None, g) for i, r, d, k, s, g in CONTEXT]
     return sorted(direct + context)
 
@@ -59,11 +60,6 @@ def with_pack(rules: Iterable[Rule], pack: Iterable[Rule]) -> list[Rule]:
     return rules + [r._replace(order=first + k) for k, r in enumerate(pack)]
 
 
-def jvm_pattern(pattern: str) -> str:
-    """The same language in the JVM's dialect: Unicode classes, \\n as the only line end, absolute end, unnamed groups."""
-    return "(?dU)" + re.sub(r"\(\?P<\w+>", "(?:", pattern).replace(r"\Z", r"\z")
-
-
 def rules_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
     rows = [(r.order, r.rule, r.display, r.pattern, list(r.anchors), r.gate, r.rotation or DEFAULT_ROTATION) for r in rules]
     return spark.createDataFrame(rows, "rule_idx int, rule string, display string, pattern string, anchors array<string>, gate string, rotation string")
@@ -77,27 +73,3 @@ def select_rules(rules: Iterable[Rule], only: Iterable[str] = (), exclude: Itera
     if unknown := (only | exclude) - names:
         raise ValueError(f"unknown rules: {sorted(unknown)}")
     return only or names - exclude
-
-
-def any_anchor(rules: Iterable[Rule]) -> str | None:
-    """One pattern that finds any anchor, as a prefix tree so that a position is tried by its first letter once."""
-    tree: dict = {}
-    for a in {a for r in rules for a in r.anchors}:
-        at = tree
-        for c in a:
-            at = at.setdefault(c, {})
-        at[""] = {}
-
-    def write(node: dict) -> str:
-        if "" in node:  # an anchor ends here: longer ones with this beginning say no more
-            return ""
-        parts = [re.escape(c) + write(n) for c, n in sorted(node.items())]
-        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
-
-    return write(tree) if tree else None
-
-
-def literal_rules(rules: Iterable[Rule]) -> Column:
-    """The rules as one folded literal in a plan: a bounded table that travels with the tasks."""
-    rows = [{"idx": r.order, "pattern": jvm_pattern(r.pattern), "anchors": list(r.anchors), "gate": r.gate} for r in rules if r.pattern]
-    return F.from_json(F.lit(json.dumps(rows)), "array<struct<idx:int,pattern:string,anchors:array<string>,gate:string>>")

@@ -35,11 +35,11 @@ def replaced(value: Column, hits: Column, names: Column, template: str) -> Colum
     return F.when(F.size(hits) > 0, whole).otherwise(value)
 
 
-def redact_column(df: DataFrame, column: str, rules: Sequence[Rule], template: str = TEMPLATE, only: Sequence[str] = (), name: str = "redacted", exact: bool = True) -> DataFrame:
+def redact_column(df: DataFrame, column: str, rules: Sequence[Rule], template: str = TEMPLATE, only: Sequence[str] = (), name: str = "redacted", words: Sequence[str] = ()) -> DataFrame:
     """df with a column of redacted texts and n_redacted; null stays null. only: names of the rules that are applied."""
     names = F.create_map(*(x for r in rules for x in (F.lit(r.order), F.lit(r.rule))))
     chosen = [r.order for r in rules if not only or r.rule in only]
-    found = with_hits(df, column, rules, "_hits", exact)
+    found = with_hits(df, column, rules, "_hits", words)
     if only:
         found = found.withColumn("_hits", F.filter("_hits", lambda h: h["idx"].isin(*chosen)))
     return found.withColumns({name: F.when(F.col(column).isNotNull(), replaced(F.col(column), F.col("_hits"), names, template)), "n_redacted": F.size("_hits").cast("long")}).drop("_hits")

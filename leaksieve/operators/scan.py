@@ -1,72 +1,83 @@
 """The scan: which rules match where in each string. One narrow projection, no shuffle.
 
-A string is tried against a rule only if it holds one of the rule's anchors and passes its gate. Spans come from marking
-matches with private-use characters and splitting there, all built-in expressions. Strings whose characters the JVM's
-and Python's regex classes may judge differently (anything outside ASCII, separators U+001C to U+001F) go, with
-their triggered rules, through an Arrow function that uses Python's re. Overlaps are folded in the row.
+An Arrow function holds the compiled patterns of a rule set, once per worker. One pass of an automaton over the lower-case
+text finds the anchors; a rule is tried only where one of its anchors (and its gate, if it has one) is found, by Python's
+re, whose classes and borders define what a match is. Overlaps are folded in the row by built-in expressions.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leaksieve.functions.rules import DEFAULT_ROTATION, Rule, any_anchor, literal_rules, rules_table
+from leaksieve.functions.rules import DEFAULT_ROTATION, SEED_PHRASE, Rule, rules_table
+from leaksieve.functions.seed_words import phrases
 from leaksieve.functions.text import masked
 
-OPEN, CLOSE = "\ue000", "\ue001"
 HIT = "struct<start:int,idx:int,end:int,value:string>"
+_ARROW_HIT = pa.struct([("start", pa.int32()), ("idx", pa.int32()), ("end", pa.int32()), ("value", pa.string())])
+#: (start, rule index, end) of each hit in a text.
+Spans = Callable[[str], list[tuple[int, int, int]]]
 
 
-def triggered(value: Column, lowered: Column, rules: Sequence[Rule]) -> Column:
-    """The rules to try, as an array of (idx, pattern, anchors, gate)."""
-    gate_open = lambda r: r["gate"].isNull() | F.coalesce(F.rlike(value, r["gate"]), F.lit(False))
-    anchored, free = [r for r in rules if r.anchors], [r for r in rules if not r.anchors]
-    out = F.filter(literal_rules(free), gate_open)
-    if anchored:
-        held = F.filter(literal_rules(anchored), lambda r: F.exists(r["anchors"], lambda a: F.contains(lowered, a)) & gate_open(r))
-        out = F.when(lowered.rlike(any_anchor(anchored)), F.concat(held, out)).otherwise(out)
-    return out
-
-
-def _spans(value: Column, rule: Column) -> Column:
-    """Array of hits of one rule: the text with its matches marked, split at the marks."""
-    parts = F.split(F.regexp_replace(value, rule["pattern"], F.lit(f"{OPEN}$0{CLOSE}")), f"[{OPEN}{CLOSE}]", -1)
-    found = (F.size(parts) / 2).cast("int")
-
-    def hit(k: Column) -> Column:
-        start = F.length(F.array_join(F.slice(parts, F.lit(1), 2 * k - 1), ""))
-        text = F.element_at(parts, 2 * k)
-        return F.struct(start.alias("start"), rule["idx"].alias("idx"), (start + F.length(text)).alias("end"), text.alias("value"))
-
-    return F.when(found > 0, F.transform(F.sequence(F.lit(1), found), hit)).otherwise(F.array().cast(f"array<{HIT}>"))
+def anchor_finder(anchors: Sequence[str]) -> Callable[[str], set[str]]:
+    """The anchors that a lower-case text holds."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: {a for a in anchors if a in text}
+    machine = ahocorasick.Automaton()
+    for a in anchors:
+        machine.add_word(a, a)
+    machine.make_automaton()
+    return lambda text: {a for _, a in machine.iter(text)}
 
 
 @functools.lru_cache(maxsize=8)
-def _compiled(patterns: tuple[tuple[int, str], ...]) -> dict[int, re.Pattern]:
-    return {i: re.compile(p) for i, p in patterns}
-
-
-_ARROW_HITS = pa.list_(pa.struct([("start", pa.int32()), ("idx", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
-
-
-def _exact(rules: Sequence[Rule]):
-    patterns = tuple((r.order, r.pattern) for r in rules if r.pattern)
+def span_finder(rules: tuple[Rule, ...], words: tuple[str, ...] = ()) -> Spans:
+    """All matches of the rules in a text; with a word list (2048 words), seed phrases as well."""
+    patterns = {r.order: re.compile(r.pattern) for r in rules if r.pattern}
+    gates = {r.order: re.compile(r.gate) for r in rules if r.gate}
+    always = [r.order for r in rules if r.pattern and not r.anchors]
+    by_anchor: dict[str, list[int]] = {}
+    for r in rules:
+        for a in r.anchors if r.pattern else ():
+            by_anchor.setdefault(a, []).append(r.order)
+    find = anchor_finder(list(by_anchor)) if by_anchor else lambda text: set()
+    index = {w: i for i, w in enumerate(words)}
+    phrase_rule = next((r.order for r in rules if r.rule == SEED_PHRASE), None)
+
+    def spans(text: str) -> list[tuple[int, int, int]]:
+        tried = sorted({k for a in find(text.lower()) for k in by_anchor[a]}.union(always))
+        out = [(m.start(), k, m.end()) for k in tried if k not in gates or gates[k].search(text) for m in patterns[k].finditer(text)]
+        if index and phrase_rule is not None:
+            out += [(start, phrase_rule, end) for start, end, _ in phrases(text, index)]
+        return out
+
+    return spans
+
+
+def _finder(rules: Sequence[Rule], words: Sequence[str]):
+    rules, words = tuple(rules), tuple(words)
 
     @F.arrow_udf(f"array<{HIT}>")
-    def run(values: pa.Array, tried: pa.Array) -> pa.Array:
-        compiled, out = _compiled(patterns), []
-        for text, which in zip(values.to_pylist(), tried.to_pylist(), strict=True):
-            if text is None:
-                out.append(None)
-                continue
-            out.append([{"start": m.start(), "idx": i, "end": m.end(), "value": m[0]} for i in which for m in compiled[i].finditer(text)])
-        return pa.array(out, _ARROW_HITS)
+    def run(values: pa.Array) -> pa.Array:
+        spans = span_finder(rules, words)
+        offsets, starts, which, ends, found = [0], [], [], [], []
+        for text in values.to_pylist():
+            for start, k, end in spans(text) if text else ():
+                starts.append(start)
+                which.append(k)
+                ends.append(end)
+                found.append(text[start:end])
+            offsets.append(len(starts))
+        columns = [pa.array(x, pa.int32()) for x in (starts, which, ends)] + [pa.array(found, pa.string())]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(_ARROW_HIT)))
 
     return run
 
@@ -84,43 +95,32 @@ def without_overlaps(hits: Column) -> Column:
     return F.when(F.size(hits) < 2, hits).otherwise(F.aggregate(F.array_sort(hits), empty, step))
 
 
-def with_hits(df: DataFrame, column: str, rules: Sequence[Rule], name: str = "hits", exact: bool = True, more: Column | None = None, cap: int | None = None) -> DataFrame:
-    """df with an array of (start, idx, end, value), overlaps resolved, for a string column. more: hits of other detectors.
+def with_hits(df: DataFrame, column: str, rules: Sequence[Rule], name: str = "hits", words: Sequence[str] = (), cap: int | None = None) -> DataFrame:
+    """df with an array of (start, idx, end, value), overlaps resolved, for a string column; empty for null.
 
-    cap: a string is scanned up to this many code points (None: all of it).
+    words: the word list of the seed-phrase detector; without one it doesn't run. cap: a string is scanned up to this many code
+    points (None: all of it).
     """
-    rules = [r for r in rules if r.pattern]
-    value = F.coalesce(F.col(column), F.lit(""))
-    if cap is not None:
-        value = F.substring(value, 1, cap)
-    staged = df.withColumn("_v", value).withColumn("_low", F.lower("_v")).withColumn("_tried", triggered(F.col("_v"), F.col("_low"), rules))
-    some = F.size("_tried") > 0
-    wide = F.col("_v").rlike(f"[^\\x00-\\x7F]|[\\x1c-\\x1f]|[{OPEN}{CLOSE}]") & some
-    jvm = F.when(some, F.flatten(F.transform("_tried", lambda r: _spans(F.col("_v"), r)))).otherwise(F.array().cast(f"array<{HIT}>"))
-    if exact:
-        staged = staged.withColumn("_wide", wide)
-        ids = F.when(F.col("_wide"), F.transform("_tried", lambda r: r["idx"]))
-        staged = staged.withColumn("_exact", _exact(rules)(F.when(F.col("_wide"), F.col("_v")), ids))
-        found = F.when(F.col("_wide"), F.col("_exact")).otherwise(jvm)
-    else:
-        found = jvm
-    if more is not None:
-        found = F.concat(found, more)
-    staged = staged.withColumn("_all", found).withColumn(name, without_overlaps(F.col("_all")))
-    return staged.drop("_v", "_low", "_tried", "_wide", "_exact", "_all")
-
-
-def scan(strings: DataFrame, rules: Sequence[Rule], value: str = "value", exact: bool = True) -> DataFrame:
+    value = F.col(column) if cap is None else F.substring(column, 1, cap)
+    return df.withColumn(name, _finder(rules, words)(value)).withColumn(name, without_overlaps(F.col(name)))
+
+
+def scan(strings: DataFrame, rules: Sequence[Rule], value: str = "value", words: Sequence[str] = ()) -> DataFrame:
     """Findings: the other columns of strings with rule_idx, rule, display, match, masked, start and end (code points).
 
-    match is the plaintext; sinks drop it.
+    match is the plaintext; sinks drop it. A seed phrase is masked to its first and last word. Columns of strings may have any
+    names but these.
     """
     keys = [c for c in strings.columns if c != value]
+    held = strings.select(F.struct(*keys).alias("keys"), F.col(value).alias("text"))
     # an outer generator: the optimiser would copy the whole scan into a filter in front of an inner one
-    hits = with_hits(strings, value, rules, "_hits", exact).select(*keys, F.inline_outer("_hits")).where(F.col("idx").isNotNull())
+    hits = with_hits(held, "text", rules, "hits", words).select("keys", F.explode_outer("hits").alias("hit")).where(F.col("hit").isNotNull())
     named = F.broadcast(rules_table(strings.sparkSession, rules).select("rule_idx", "rule", "display"))
-    found = hits.withColumnRenamed("value", "match").withColumnRenamed("idx", "rule_idx").join(named, "rule_idx")
-    return found.select(*keys, "rule_idx", "rule", "display", "match", masked(F.col("match")).alias("masked"), "start", "end")
+    match = F.col("hit.value")
+    ends = F.concat(F.lower(F.regexp_extract(match, r"\A[A-Za-z]+", 0)), F.lit(" …["), F.regexp_count(match, F.lit("[A-Za-z]+")).cast("string"), F.lit(" words]… "), F.lower(F.regexp_extract(match, r"[A-Za-z]+\z", 0)))
+    shown = F.when(F.col("rule") == SEED_PHRASE, ends).otherwise(masked(match))
+    found = hits.join(named, F.col("hit.idx") == F.col("rule_idx"))
+    return found.select("keys.*", "rule_idx", "rule", "display", match.alias("match"), shown.alias("masked"), F.col("hit.start").alias("start"), F.col("hit.end").alias("end"))
 
 
 def with_rotation(findings: DataFrame, rules: Sequence[Rule]) -> DataFrame:

@@ -1,75 +1,24 @@
-"""Wallet seed phrases: runs of word-list words whose checksum or version tag holds, with built-in expressions.
-
-The word list (word, idx from 0) is a parameter: a table of a standard list's 2048 words.
-"""
+"""Wallet seed phrases of a table of strings. The word list is a parameter: the 2048 words of a standard list, in its order."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leaksieve.functions.rules import SEED_PHRASE
-from leaksieve.functions.text import count_char
-from leaksieve.operators.scan import CLOSE, OPEN
-
-#: Lengths tried (longest first), the most characters between words, and the version tags of the second kind of phrase.
-LENGTHS = (24, 21, 18, 15, 12)
-GAP = 3
-TAGS = ("01", "100", "101", "102")
-
-
-def checksum_holds(indices: Column, n: int) -> Column:
-    """11 bits a word: the last n/3 bits are the first of the SHA-256 of the bits before."""
-    check = n // 3
-    bits = F.array_join(F.transform(indices, lambda i: F.lpad(F.bin(i), 11, "0")), "")
-    size = 11 * n - check
-    entropy = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size // 4 - 1)), lambda k: F.conv(F.substring(bits, 4 * k + 1, F.lit(4)), 2, 16)), "")
-    first = F.lpad(F.conv(F.substring(F.sha2(F.unhex(entropy), 256), 1, 2), 16, 2), 8, "0")
-    return F.substring(bits, size + 1, check) == F.substring(first, 1, check)
-
+from leaksieve.functions.rules import SEED_PHRASE, builtin_rules
+from leaksieve.operators.scan import scan
 
-def tag_holds(phrase: Column, key: bytes = b"Seed version") -> Column:
-    """HMAC-SHA512 of the phrase, by two digests with the padded key, starts with one of the tags."""
-    pad = lambda byte: bytes(k ^ byte for k in key.ljust(128, b"\0")).hex()
-    inner = F.sha2(F.concat(F.unhex(F.lit(pad(0x36))), F.encode(phrase, "utf-8")), 512)
-    outer = F.sha2(F.concat(F.unhex(F.lit(pad(0x5C))), F.unhex(inner)), 512)
-    out = F.lit(False)
-    for tag in TAGS:
-        out = out | F.startswith(outer, F.lit(tag))
-    return out
 
+def n_words(match: Column) -> Column:
+    return F.regexp_count(match, F.lit("[A-Za-z]+")).cast("long")
 
-def seed_phrases(strings: DataFrame, words: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """keys, start, end, n_words, match, masked of each phrase; keys identify a string.
 
-    Strings with fewer than 11 separators leave first; what is exploded is the words of the rest.
-    """
-    text = F.col(value)
-    held = strings.where(sum((count_char(text, c) for c in " \n,;"), F.lit(0)) >= 11).select(*keys, text.alias("_text"))
-    parts = F.split(F.regexp_replace("_text", "[a-zA-Z]{3,8}", f"{OPEN}$0{CLOSE}"), f"[{OPEN}{CLOSE}]", -1)
-    pieces = held.withColumn("_parts", parts).select(*keys, "_text", F.posexplode("_parts").alias("k", "part"))
-    order = Window.partitionBy(*keys).orderBy("k")
-    placed = pieces.withColumns({"start": F.coalesce(F.sum(F.length("part")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "gap": F.lag("part").over(order)})
-    tokens = placed.where(F.col("k") % 2 == 1).withColumn("word", F.lower("part")).join(F.broadcast(words), "word", "left")
-    listed = F.col("idx").isNotNull()
-    before = F.coalesce(F.lag(listed.cast("int")).over(order), F.lit(0))
-    near = F.col("gap").rlike(rf"\A[ \t\r\n,;.]{{0,{GAP}}}\z")
-    marked = tokens.withColumn("new", (listed & ((before == 0) | ~near)).cast("int"))
-    numbered = marked.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(listed)
-    runs = numbered.groupBy(*keys, "run").agg(F.array_sort(F.collect_list(F.struct("start", "word", F.col("idx").cast("long").alias("idx")))).alias("w")).where(F.size("w") >= min(LENGTHS))
-    found = None
-    for n in LENGTHS:
-        windows = runs.where(F.size("w") >= n).select(*keys, "run", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("i"), "w").withColumn("w", F.slice("w", F.col("i") + 1, F.lit(n)))
-        good = windows.where(checksum_holds(F.transform("w", lambda x: x["idx"]), n) | tag_holds(F.array_join(F.transform("w", lambda x: x["word"]), " ")))
-        found = good.withColumn("n", F.lit(n)) if found is None else found.unionByName(good.withColumn("n", F.lit(n)))
-    # claims in order: the earliest window, the longest at its place, none that begins inside a claimed one
-    claim = found.groupBy(*keys, "run").agg(F.array_sort(F.collect_list(F.struct("i", (-F.col("n")).alias("less"), "n", "w"))).alias("c"))
-    empty = F.slice("c", F.lit(1), F.lit(0))
-    fold = F.aggregate("c", empty, lambda kept, x: F.when((F.size(kept) == 0) | (x["i"] >= F.element_at(kept, -1)["i"] + F.element_at(kept, -1)["n"]), F.array_append(kept, x)).otherwise(kept))
-    one = claim.select(*keys, F.explode(fold).alias("c")).select(*keys, F.col("c.n").alias("n_words"), F.col("c.w").alias("w"))
-    first, last = F.col("w")[0], F.element_at("w", -1)
-    spans = one.select(*keys, "n_words", first["start"].cast("int").alias("start"), (last["start"] + F.length(last["word"])).cast("int").alias("end"), F.concat(first["word"], F.lit(" …["), F.col("n_words").cast("string"), F.lit(" words]… "), last["word"]).alias("masked"))
-    texts = strings.select(*keys, text.alias("_text"))
-    return spans.join(texts, list(keys)).select(*keys, F.lit(SEED_PHRASE).alias("rule"), "n_words", "start", "end", F.substring(F.col("_text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("match"), "masked")
+def seed_phrases(strings: DataFrame, words: Sequence[str], value: str = "value") -> DataFrame:
+    """The other columns of strings with rule, n_words, start, end, match and masked of each phrase, by the detector alone."""
+    if len(words) != 2048 or len(set(words)) != 2048:
+        raise ValueError("a word list has 2048 different words")
+    keys = [c for c in strings.columns if c != value]
+    found = scan(strings, [r for r in builtin_rules() if r.rule == SEED_PHRASE], value, words)
+    return found.select(*keys, "rule", n_words(F.col("match")).alias("n_words"), "start", "end", "match", "masked")

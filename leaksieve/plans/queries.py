@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leaksieve.functions import text as T
-from leaksieve.functions.rules import Rule, builtin_rules, with_pack
+from leaksieve.functions.rules import SEED_PHRASE, Rule, builtin_rules, with_pack
 from leaksieve.operators import budget, redact, report, seed_phrase, suppress
 from leaksieve.operators.scan import prefilter_pairs, scan
 from leaksieve.sources.walk import json_strings, table_strings, walker
@@ -361,17 +361,39 @@ def finding_digest(spark, sf_dir):
     return report.finding_set_hash(found(spark, sf_dir))
 
 
-def seed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """2048 words as a stand-in for a standard list: the most frequent ones of 3 to 8 ASCII letters in the documents."""
+def seed_words(spark: SparkSession, sf_dir: str) -> list[str]:
+    """2048 words as a stand-in for a standard list: the most frequent ones of 3 to 8 ASCII letters in the documents, sorted."""
     w = documents(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z]{3,8}\b"), F.lit(0))).alias("word"))
     top = w.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(2048)
-    from pyspark.sql import Window
-
-    return top.select("word", (F.row_number().over(Window.orderBy("word")) - 1).alias("idx"))  # 2048 rows
+    words = sorted(r["word"] for r in top.collect())
+    return words + [f"unused{i}" for i in range(2048 - len(words))]
 
 
 @_query(None)
 def seed_phrase_candidates(spark, sf_dir):
     """Phrases in the documents whose checksum or tag holds under the stand-in list."""
-    s = strings(spark, sf_dir, plain=True).select("doc_id", "value")
-    return seed_phrase.seed_phrases(s, seed_words(spark, sf_dir), ["doc_id"])
+    return seed_phrase.seed_phrases(strings(spark, sf_dir, plain=True).select("doc_id", "value"), seed_words(spark, sf_dir))
+
+
+#: A word list by a rule (consonant, vowel, consonant, vowel), which both engines can spell.
+_CONSONANTS = "bcdfghjklmnprstv"
+RULED_WORDS = tuple(a + b + c + d for a in _CONSONANTS for b in "aeio" for c in _CONSONANTS for d in "ae")
+
+
+@_query("""WITH d AS (SELECT doc_id, md5(doc_id::VARCHAR) AS h FROM documents WHERE doc_id % 13 = 0),
+b AS (SELECT doc_id, h || substr(sha256(unhex(h)), 1, 1) || '000' AS bits FROM d),
+w AS (SELECT doc_id, [((('0x' || substr(bits, (11 * k // 4 + 1)::INT, 4))::BIGINT >> (5 - 11 * k % 4)::INT) % 2048)::BIGINT for k in range(12)] AS idx FROM b),
+p AS (SELECT doc_id, array_to_string([substr('bcdfghjklmnprstv', (i // 128 + 1)::INT, 1) || substr('aeio', (i // 32 % 4 + 1)::INT, 1)
+  || substr('bcdfghjklmnprstv', (i // 2 % 16 + 1)::INT, 1) || substr('ae', (i % 2 + 1)::INT, 1) for i in idx], ' ') AS match FROM w)
+SELECT doc_id, 'bip39-mnemonic' AS rule, 12::BIGINT AS n_words, match, substr(match, 1, 4) || ' …[12 words]… ' || right(match, 4) AS masked FROM p""")
+def seed_phrase_planted(spark, sf_dir):
+    """All rules and the detector over documents of which every 13th holds a valid phrase of the ruled list."""
+    h = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    bits = F.concat(h, F.substring(F.sha2(F.unhex(h), 256), 1, 1), F.lit("000"))
+    part = lambda k: F.conv(F.substring(bits, F.floor(k * 11 / 4).cast("int") + 1, F.lit(4)), 16, 10).cast("int")
+    index = lambda k: F.pmod(F.floor(part(k) / F.pow(F.lit(2), 5 - k * 11 % 4)).cast("int"), F.lit(2048))
+    listed = F.array(*map(F.lit, RULED_WORDS))
+    phrase = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.get(listed, index(k))), " ")
+    value = F.when(F.col("doc_id") % 13 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" seed: "), phrase, F.lit(" end"))).otherwise(F.col("text"))
+    found = scan(documents(spark, sf_dir).select("doc_id", value.alias("value")), rules(), words=RULED_WORDS).where(F.col("rule") == SEED_PHRASE)
+    return found.select("doc_id", "rule", seed_phrase.n_words(F.col("match")).alias("n_words"), "match", "masked")

@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from leaksieve.functions import rules as R
+from leaksieve.functions import seed_words
 from leaksieve.functions import text as T
 from leaksieve.operators import budget, redact, report, seed_phrase, suppress
-from leaksieve.operators.scan import scan
+from leaksieve.operators.scan import scan, span_finder
 
 AWS = "AKIA" + "ABCDEFGH12345678"
 GIT = "ghp" + "_" + "a1B2" * 9
@@ -47,14 +48,26 @@ def test_spans_masks_and_empty_values(spark):
     assert masked == {"AKIAAB" + "*" * 8 + "5678", "ghp_a1" + "*" * 8 + "a1B2"}
 
 
-def test_builtin_expressions_agree_with_the_exact_path(spark):
+def test_hits_equal_every_pattern_tried_alone(spark):
     texts = [f"a={AWS}\n", f"'{GIT}'", f"{GIT}_", "cohere_key = " + "a1" * 20 + " ", "curl -u user:passw0rd https://x.y", "SK" + "0f" * 16, "lob: live_" + "ab" * 17 + "c;", "postgres://u:p@h/d", "eyJ" + "a" * 12 + ".eyJ" + "b" * 12 + "." + "c" * 12]
-    jvm = hits(spark, texts, exact=False)
-    exact = [(f"f{i}", r.rule, m.start(), m.end(), m[0]) for i, t in enumerate(texts) for r in R.builtin_rules() if r.pattern for m in re.finditer(r.pattern, t)]
-    assert jvm and set(jvm) <= set(exact)
-    assert {(f, m) for f, _, _, _, m in exact if f not in {j[0] for j in jvm}} == set()
-    # the same texts behind a non-ASCII letter go through Python
-    assert [(f, r, s - 2, e - 2, m) for f, r, s, e, m in hits(spark, ["é " + t for t in texts])] == jvm
+    texts += ["é " + t for t in texts]
+    every = [r for r in R.builtin_rules() if r.pattern]
+    spans = span_finder(tuple(R.builtin_rules()))
+    for t in texts:
+        assert sorted(spans(t)) == sorted((m.start(), r.order, m.end()) for r in every for m in re.finditer(r.pattern, t))
+    found = {f for f, *_ in hits(spark, texts)}
+    assert found == {f"f{i}" for i, t in enumerate(texts) if any(re.search(r.pattern, t) for r in every)} and len(found) > 8
+
+
+@pytest.mark.parametrize("text", ["a" * 50_000, "eyJ" + "A" * 60_000, "curl " * 10_000, "key=" * 15_000, "://" * 20_000, "\\" * 40_000, "sk-" * 15_000 + "-H", "-----BEGIN PRIVATE KEY-----" * 1500])
+def test_pathological_texts_take_less_than_a_second(text):
+    import time
+
+    spans = span_finder(tuple(R.builtin_rules()))
+    spans("warm")
+    began = time.process_time()
+    spans(text)
+    assert time.process_time() - began < 1
 
 
 def test_overlaps_fold_in_order(spark):
@@ -128,16 +141,54 @@ def test_budget_keeps_the_string_that_exceeds_it(spark):
     assert budget.truncated_files(df, 8).count() == 1
 
 
-def test_seed_phrases(spark):
-    words = [f"{a}{b}{c}{d}" for a in "bcdfghjklmnprstv" for b in "aeio" for c in "bcdfghjklmnprstv" for d in "ae"]
-    table = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "word string, idx int")
+RULED = [f"{a}{b}{c}{d}" for a in "bcdfghjklmnprstv" for b in "aeio" for c in "bcdfghjklmnprstv" for d in "ae"]
+
+
+def seed(entropy):
     import hashlib
 
-    entropy = bytes(range(16))
-    bits = "".join(f"{x:08b}" for x in entropy) + f"{hashlib.sha256(entropy).digest()[0]:08b}"[:4]
-    phrase = [words[int(bits[i : i + 11], 2)] for i in range(0, 132, 11)]
-    bad = phrase[:-1] + [words[(words.index(phrase[-1]) + 1) % 2048]]
-    texts = ["Key: " + " ".join(phrase) + ". Thanks", ",\n".join(phrase).upper(), " ".join(bad), "one two three"]
+    bits = "".join(f"{x:08b}" for x in entropy) + f"{hashlib.sha256(entropy).digest()[0]:08b}"[: len(entropy) // 4]
+    return [RULED[int(bits[i : i + 11], 2)] for i in range(0, len(bits), 11)]
+
+
+def test_seed_phrases(spark):
+    phrase, long = seed(bytes(range(16))), seed(bytes(range(7, 39)))
+    bad = phrase[:-1] + [RULED[(RULED.index(phrase[-1]) + 1) % 2048]]
+    texts = ["Key: " + " ".join(phrase) + ". Thanks", ",\n".join(phrase).upper(), " ".join(bad), "one two three", None, "", " ".join(long), " ".join(phrase + long), "    ".join(phrase)]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, value string")
-    got = {r.id: (r.match.lower(), r.masked) for r in seed_phrase.seed_phrases(df, table, ["id"]).collect()}
-    assert got == {0: (" ".join(phrase), f"{phrase[0]} …[12 words]… {phrase[-1]}"), 1: (",\n".join(phrase), f"{phrase[0]} …[12 words]… {phrase[-1]}")}
+    got = {r.id: (r.match.lower(), r.masked, r.n_words) for r in seed_phrase.seed_phrases(df, RULED).where("id <> 7").collect()}
+    ends = lambda p: f"{p[0]} …[{len(p)} words]… {p[-1]}"
+    assert got == {0: (" ".join(phrase), ends(phrase), 12), 1: (",\n".join(phrase), ends(phrase), 12), 6: (" ".join(long), ends(long), 24)}
+    assert [r.n_words for r in seed_phrase.seed_phrases(df.where("id = 7"), RULED).orderBy("start").collect()] == [12, 24]
+    with pytest.raises(ValueError):
+        seed_phrase.seed_phrases(df, RULED[:-1])
+
+
+def test_seed_phrase_tag_and_checksum():
+    import hashlib
+    import hmac
+
+    digest = lambda words: hmac.new(b"Seed version", " ".join(words).encode(), hashlib.sha512).hexdigest()
+    tagged = next(p for p in ([*RULED[k : k + 12]] for k in range(2000)) if digest(p).startswith(("01", "100", "101", "102")))
+    index = {w: i for i, w in enumerate(RULED)}
+    assert seed_words.phrases(" ".join(tagged), index) == [(0, 59, 12)]
+    for n in (16, 20, 24, 28, 32):
+        assert seed_words.checksum_holds([index[w] for w in seed(bytes(range(n)))])
+    began = __import__("time").process_time()
+    seed_words.phrases(" ".join(RULED * 5), index)
+    assert __import__("time").process_time() - began < 2
+
+
+def test_seed_phrases_in_scans_and_redaction(spark):
+    phrase = " ".join(seed(bytes(range(16))))
+    df = strings(spark, [f"{AWS} and {phrase} end", phrase])
+    found = scan(df, R.builtin_rules(), words=RULED)
+    assert sorted((r.file, r.rule) for r in found.collect()) == [("f0", "aws-access-key"), ("f0", "bip39-mnemonic"), ("f1", "bip39-mnemonic")]
+    done = redact.redact_column(df, "value", R.builtin_rules(), words=RULED).where("file = 'f0'").first()
+    assert done.redacted == "[REDACTED:aws-access-key] and [REDACTED:bip39-mnemonic] end"
+    assert scan(df, R.builtin_rules()).count() == 1
+
+
+def test_columns_named_like_the_scan_s_own(spark):
+    df = spark.createDataFrame([(1, 2, 3, "x", f"k {AWS}")], "end int, idx int, hit int, keys string, value string")
+    assert [(r.idx, r.hit, r["keys"], r.match) for r in scan(df, R.builtin_rules()).drop("end").collect()] == [(2, 3, "x", AWS)]

@@ -38,7 +38,7 @@ def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = preference_format.preference_pairs(*preference_format.pairs_of_neighbours(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    pairs = preference_format.formatted(preference_format.branched(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
     return pairs.withColumns({c: preference_format.spans_text(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
 
 

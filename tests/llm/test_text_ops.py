@@ -142,3 +142,24 @@ def test_preference_pairs(spark):
     assert [one.rejected[s.start : s.end] for s in one.rejected_spans] == ["bad é<|end|>\n"]
     assert got[2].n_common_turns == 0 and got[2].chosen == "<|unknown|>\n<|end|>\n" and got[2].chosen_spans == []
     assert got[4].n_common_turns == 1 and got[4].chosen == got[4].rejected == ""
+
+
+def test_branched_pairs_lose_no_conversation(spark):
+    rows = []
+    for c in [*range(40), 10**6, 10**9]:  # the last two are alone among their neighbours
+        for k in range(c % 5 + 1):
+            rows += [(c, 10 * k, "user", f"ask {c} {k}"), (c, 10 * k + 5, "assistant", f"answer {c} {k} é")]
+    rows += [(50, 0, "user", "never answered"), (None, 0, "assistant", "no id"), (3, 5, "assistant", "answer 3 0 é"), (60, 0, "assistant", None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    pairs = {r.pair_id: r for r in preference_format.formatted(preference_format.branched(turns)).collect()}
+    assert set(pairs) == {*range(40), 10**6, 10**9, 60}
+    prefixes = {c: r.n_common_turns for c, r in pairs.items()}
+    assert len({(c % 5, n) for c, n in prefixes.items() if c < 40}) > 9  # prefixes of several lengths
+    for c, r in pairs.items():
+        assert all(r.rejected[s.start : s.end].endswith("<|end|>\n") for s in r.rejected_spans)
+        if c < 40:
+            other = c + 1 if c < 39 else 60
+            last = f"answer {other} {other % 5} é" if other < 60 else ""
+            assert r.rejected == f"<|assistant|>\n{last}<|end|>\n" and f"answer {c} {c % 5} é" in r.prompt + r.chosen
+    assert pairs[10**6].rejected == "<|assistant|>\nanswer <|end|>\n" or pairs[10**6].rejected.startswith("<|assistant|>\nanswer")
+    assert preference_format.branched(turns.where("false")).count() == 0

@@ -2,9 +2,9 @@
 
 ``describe`` reads any MPEG-1/2/2.5 stream of layers I to III: it skips and parses an ID3v2 tag and an ID3v1 trailer,
 looks for frame headers byte by byte wherever the stream is broken (a header counts if the next one agrees with it, or the
-stream ends there), reads a Xing/Info or VBRI table, verifies the CRC-16 of protected layer I and III frames (layer II
-checksums depend on allocation tables and are counted as unverified), and returns the exact duration as samples over
-rate and the byte offset of every frame.
+stream ends there), reads a Xing/Info or VBRI table and compares its count with the frames, verifies the CRC-16 of protected
+frames (one of layer II that ends before its allocation bits do counts as unverified), and returns the exact duration as
+samples over rate and the byte offset of every frame.
 
 ``store`` writes bytes losslessly as a variable-bitrate layer III stream: silent frames (an all-zero side information)
 carry the bytes as ancillary data, the tag says how many they are, and every frame is protected.
@@ -88,6 +88,50 @@ def header(word: int) -> tuple | None:
     return version, layer, hz, samples, size, not word >> 16 & 1, side, channels
 
 
+#: Fixed values of layer II: bits of a subband's allocation, as (bits, subbands) runs from the lowest, by table.
+_ALLOCATION = {
+    "27": ((4, 3), (4, 8), (3, 12), (2, 4)),
+    "30": ((4, 3), (4, 8), (3, 12), (2, 7)),
+    "8": ((4, 2), (3, 6)),
+    "12": ((4, 2), (3, 10)),
+    "low": ((4, 4), (3, 7), (2, 19)),
+}
+
+
+def _allocation_bits(word: int, hz: int, channels: int) -> list[int]:
+    version, bitrate = _VERSION[word >> 19 & 3], word >> 12 & 15
+    each = _RATES[1 if version == 1 else 2, 2][bitrate] // channels
+    if version != 1:
+        table = "low"
+    elif each <= 48:
+        table = "12" if hz == 32000 else "8"
+    else:
+        table = "27" if hz == 48000 or each <= 80 else "30"
+    return [bits for bits, n in _ALLOCATION[table] for _ in range(n)]
+
+
+def layer2_protected(frame: bytes, hz: int, channels: int) -> int | None:
+    """Checksum of a layer II frame over its header's second half, allocation and selection bits; None where the frame ends before them."""
+    word = int.from_bytes(frame[:4], "big")
+    bound = 4 * ((word >> 4 & 3) + 1) if word >> 6 & 3 == 1 else 32
+    bits, size, at = int.from_bytes(frame[6:], "big"), 8 * max(0, len(frame) - 6), 0
+    used = 0
+    for band, n in enumerate(_allocation_bits(word, hz, channels)):
+        own = channels if band < bound else 1
+        for _ in range(own):
+            if at + n > size:
+                return None
+            used += (bits >> (size - at - n) & ((1 << n) - 1) > 0) * (channels if own < channels else 1)
+            at += n
+    at += 2 * used
+    if at > size:
+        return None
+    value, c = (word & 0xFFFF) << at | bits >> (size - at), 0xFFFF
+    for k in range(at + 15, -1, -1):
+        c = c << 1 & 0xFFFF ^ (0x8005 if (c >> 15) ^ (value >> k & 1) else 0)
+    return c
+
+
 def _syncsafe(n: int) -> bytes:
     return bytes(n >> s & 127 for s in (21, 14, 7, 0))
 
@@ -134,7 +178,7 @@ def _agrees(data: bytes, at: int, end: int, h: tuple) -> bool:
 
 def describe(data: bytes) -> dict:
     """What a stream holds. frames: offsets of all audio frames; payload: their ancillary bytes behind side information."""
-    out = {"frames": [], "samples": 0, "rate": 0, "resyncs": 0, "skipped": 0, "crc_ok": 0, "crc_bad": 0, "crc_unverified": 0, "unprotected": 0, "vbr": None, "tags": {}, "version": None, "layer": None, "channels": 0, "duration": Fraction(0), "payload": b""}
+    out = {"frames": [], "samples": 0, "rate": 0, "resyncs": 0, "skipped": 0, "crc_ok": 0, "crc_bad": 0, "crc_unverified": 0, "unprotected": 0, "vbr": None, "table_agrees": None, "tags": {}, "version": None, "layer": None, "channels": 0, "duration": Fraction(0), "payload": b""}
     at, out["tags"] = id3v2(data)
     end = len(data)
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
@@ -160,10 +204,10 @@ def describe(data: bytes) -> dict:
             out |= {"version": version, "layer": layer, "rate": hz, "channels": channels}
         if not protected:
             out["unprotected"] += 1
-        elif layer == 2:
+        elif layer == 2 and (crc := layer2_protected(data[at : at + size], hz, channels)) is None:
             out["crc_unverified"] += 1
         else:
-            good = _protected(data[at + 2 : at + 4] + data[at + 6 : at + 6 + side]) == data[at + 4] << 8 | data[at + 5]
+            good = (crc if layer == 2 else _protected(data[at + 2 : at + 4] + data[at + 6 : at + 6 + side])) == data[at + 4] << 8 | data[at + 5]
             out["crc_ok" if good else "crc_bad"] += 1
         if not out["frames"] and out["vbr"] is None and (vbr := _vbr(data[at : at + size], skip + side)):
             out["vbr"] = vbr
@@ -174,9 +218,11 @@ def describe(data: bytes) -> dict:
         at += size
     if out["rate"]:
         out["duration"] = Fraction(out["samples"], out["rate"])
+    if out["vbr"]:
+        out["table_agrees"] = out["vbr"].get("frames", len(out["frames"])) == len(out["frames"])
     payload = b"".join(body)
     stated = out["tags"].get("PAYLOAD_BYTES", "")
-    out["payload"] = payload[: int(stated)] if stated.isdigit() else payload
+    out["payload"] = payload[: int(stated)] if re.fullmatch("[0-9]{1,18}", stated) else payload
     return out
 
 
@@ -191,7 +237,7 @@ def _vbr(frame: bytes, at: int) -> dict | None:
         if flags & 4:
             out["toc"] = list(frame[p : p + 100])
         return out
-    if frame[36:40] == b"VBRI":
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
         n_bytes, n_frames, entries, scale, width = struct.unpack(">IIHHH", frame[46:60])
         toc = [int.from_bytes(frame[62 + i * width : 62 + (i + 1) * width], "big") * scale for i in range(entries)]
         return {"kind": "VBRI", "frames": n_frames, "bytes": n_bytes, "toc": toc}
@@ -230,7 +276,7 @@ def store(payload: bytes, rate_index: int = 2) -> bytes:
     return b"".join([b"ID3\x04\0\0", _syncsafe(len(tag)), tag, first, xing.ljust(space, b"\0"), *frames, b"TAG".ljust(128, b"\0")])
 
 
-FEATURES = "n_frames long, samples long, rate int, seconds double, vbr string, crc_ok long, crc_bad long, resyncs long, skipped long, tags map<string,string>, seek array<long>, payload binary"
+FEATURES = "n_frames long, samples long, rate int, seconds double, vbr string, table_agrees boolean, crc_ok long, crc_bad long, resyncs long, skipped long, tags map<string,string>, seek array<long>, payload binary"
 
 
 def with_audio_columns(df: DataFrame, media: str, name: str = "audio") -> DataFrame:
@@ -241,7 +287,7 @@ def with_audio_columns(df: DataFrame, media: str, name: str = "audio") -> DataFr
         rows = []
         for data in column.to_pylist():
             d = describe(data or b"")
-            rows.append({"n_frames": len(d["frames"]), "samples": d["samples"], "rate": d["rate"], "seconds": float(d["duration"]), "vbr": d["vbr"] and d["vbr"]["kind"], "crc_ok": d["crc_ok"], "crc_bad": d["crc_bad"], "resyncs": d["resyncs"], "skipped": d["skipped"], "tags": list(d["tags"].items()), "seek": d["frames"], "payload": d["payload"]})
+            rows.append({"n_frames": len(d["frames"]), "samples": d["samples"], "rate": d["rate"], "seconds": float(d["duration"]), "vbr": d["vbr"] and d["vbr"]["kind"], "table_agrees": d["table_agrees"], "crc_ok": d["crc_ok"], "crc_bad": d["crc_bad"], "resyncs": d["resyncs"], "skipped": d["skipped"], "tags": list(d["tags"].items()), "seek": d["frames"], "payload": d["payload"]})
         return pa.array(rows, _ARROW)
 
     return df.withColumn(name, read(F.col(media)))
@@ -253,7 +299,7 @@ def FEATURES_TYPE(ddl: str):
     return StructType.fromDDL(ddl)
 
 
-_ARROW = pa.struct([("n_frames", pa.int64()), ("samples", pa.int64()), ("rate", pa.int32()), ("seconds", pa.float64()), ("vbr", pa.string()), ("crc_ok", pa.int64()), ("crc_bad", pa.int64()), ("resyncs", pa.int64()), ("skipped", pa.int64()), ("tags", pa.map_(pa.string(), pa.string())), ("seek", pa.list_(pa.int64())), ("payload", pa.binary())])
+_ARROW = pa.struct([("n_frames", pa.int64()), ("samples", pa.int64()), ("rate", pa.int32()), ("seconds", pa.float64()), ("vbr", pa.string()), ("table_agrees", pa.bool_()), ("crc_ok", pa.int64()), ("crc_bad", pa.int64()), ("resyncs", pa.int64()), ("skipped", pa.int64()), ("tags", pa.map_(pa.string(), pa.string())), ("seek", pa.list_(pa.int64())), ("payload", pa.binary())])
 
 
 def with_media(df: DataFrame, payload: str, name: str = "media") -> DataFrame:

@@ -81,8 +81,9 @@ def text_lines(findings: DataFrame) -> DataFrame:
 
 def finding_set_hash(findings: DataFrame) -> DataFrame:
     """n, digest: equal for equal multisets of findings whatever their order (a sum, so it needs no sort)."""
-    row = F.xxhash64("source", "file", "line", "rule", "start", "end", F.sha2("match", 256))
-    return findings.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string").alias("digest"))
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source", "file", "line", "rule")]
+    row = F.conv(F.substring(F.md5(F.concat_ws(":", *fields, F.sha2("match", 256)).cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return findings.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row), F.lit(0).cast("decimal(38,0)")).cast("string").alias("digest"))
 
 
 def compare(before: DataFrame, now: DataFrame) -> DataFrame:
@@ -96,8 +97,15 @@ def compare(before: DataFrame, now: DataFrame) -> DataFrame:
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 
 
-def sarif(findings: DataFrame, rules: Sequence[Rule], tool: str = "leaksieve") -> DataFrame:
-    """One SARIF 2.1.0 document per source (source, value); rules are those found, numbered by first appearance."""
+#: Results of a SARIF document.
+RESULTS = 5_000
+
+
+def sarif(findings: DataFrame, rules: Sequence[Rule], tool: str = "leaksieve", results: int = RESULTS) -> DataFrame:
+    """SARIF 2.1.0 documents of about so many results each (source, part, value); rules are the source's, numbered by first appearance.
+
+    A source's results are dealt to its parts by a hash of their file, line and place, so a hot source is many rows.
+    """
     rows = with_fingerprint(findings)
     firsts = rows.groupBy("source", "rule", "display").agg(F.min(F.struct("file", "line", "start", "rule_idx")).alias("at"))
     numbered = with_rotation(firsts, rules).withColumn("ruleIndex", F.row_number().over(Window.partitionBy("source").orderBy("at")) - 1)
@@ -114,7 +122,9 @@ def sarif(findings: DataFrame, rules: Sequence[Rule], tool: str = "leaksieve") -
         F.struct(F.col("fingerprint").alias("leaksieve/v1")).alias("partialFingerprints"),
     )
     placed = rows.join(F.broadcast(numbered.select("source", "rule", "ruleIndex")), ["source", "rule"])
-    results = placed.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("file", "line", "start", result.alias("r")))), lambda x: x["r"]).alias("results"))
+    parts = rows.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / results).alias("parts"))
+    dealt = placed.join(F.broadcast(parts), "source").withColumn("part", F.pmod(F.xxhash64("file", "line", "start"), "parts").cast("int"))
+    results = dealt.groupBy("source", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("file", "line", "start", result.alias("r")))), lambda x: x["r"]).alias("results"))
     run = F.struct(F.struct(F.struct(F.lit(tool).alias("name"), F.col("rules")).alias("driver")).alias("tool"), "results")
     doc = F.struct(F.lit(SARIF_SCHEMA).alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))
-    return described.join(results, "source").select("source", F.to_json(doc).alias("value"))
+    return described.join(results, "source").select("source", "part", F.to_json(doc).alias("value"))

@@ -34,8 +34,13 @@ def scan_history(strings: DataFrame, rules: Sequence[Rule], ignores: DataFrame |
 
 
 def write_reports(result: Scan, rules: Sequence[Rule], out: str) -> None:
-    """Records, statistics, exposure groups, checklist and SARIF below one folder; none holds plaintext."""
-    findings = result.findings
+    """Records, statistics, exposure groups, checklist and SARIF below one folder; none holds plaintext.
+
+    The scan runs once, for the table of findings that the reports read.
+    """
+    table = result.findings.drop("match")
+    table.write.mode("overwrite").json(f"{out}/table")
+    findings = table.sparkSession.read.schema(table.schema).json(f"{out}/table")
     report.records(findings).write.mode("overwrite").json(f"{out}/findings")
     report.stats(findings).write.mode("overwrite").json(f"{out}/stats")
     report.blast_radius(findings, rules).write.mode("overwrite").json(f"{out}/blast_radius")

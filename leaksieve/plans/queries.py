@@ -17,6 +17,7 @@ from leaksieve.functions import text as T
 from leaksieve.functions.rules import SEED_PHRASE, Rule, builtin_rules, with_pack
 from leaksieve.operators import budget, redact, report, seed_phrase, suppress
 from leaksieve.operators.scan import prefilter_pairs, scan
+from leaksieve.operators.staging import staged
 from leaksieve.sources.walk import json_strings, table_strings, walker
 from leaksieve.streaming.scan_stream import windowed_counts
 
@@ -56,6 +57,11 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(strings(spark, sf_dir), rules())
 
 
+def kept_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written once for reports that read them more than once; without the plaintext."""
+    return staged(found(spark, sf_dir).drop("match"))
+
+
 _P = """p AS (
   SELECT doc_id, lang, source, source || '/' || doc_id || '.txt' AS file, text || CASE WHEN doc_id % 7 = 0 THEN ' key=AKIA' || substr(upper(md5(doc_id::VARCHAR)), 1, 16) || ' ' ELSE '' END
     || CASE WHEN doc_id % 11 = 0 THEN ' tok ghp_' || md5(doc_id::VARCHAR) || substr(md5(doc_id::VARCHAR), 1, 4) || ' ' ELSE '' END AS value FROM documents)"""
@@ -152,7 +158,7 @@ def stats_grouping_sets(spark, sf_dir):
 
 @_query(f"WITH {_M} SELECT source, masked, min(rule) AS rule, count(*) AS occurrences, count(DISTINCT file) AS files, string_agg(file, ',' ORDER BY file) AS places FROM m GROUP BY source, masked")
 def blast_radius(spark, sf_dir):
-    groups = report.blast_radius(found(spark, sf_dir), rules())
+    groups = report.blast_radius(kept_findings(spark, sf_dir), rules())
     return groups.select("source", "masked", "rule", "occurrences", "files", F.array_join(F.transform("places", lambda p: p["file"]), ",").alias("places"))
 
 
@@ -190,9 +196,9 @@ def ignore_value(spark, sf_dir):
 
 @_query(f"WITH {_M} SELECT doc_id, rule, fingerprint FROM m WHERE fingerprint NOT IN (SELECT fingerprint FROM m WHERE doc_id % 2 = 0)")
 def ignore_fingerprint(spark, sf_dir):
-    every = report.with_fingerprint(found(spark, sf_dir))
+    every = report.with_fingerprint(staged(found(spark, sf_dir)))
     entries = every.where(F.col("doc_id") % 2 == 0).select(F.lit("fingerprint").alias("kind"), F.col("fingerprint").alias("entry")).distinct()
-    return report.with_fingerprint(suppress.suppress(found(spark, sf_dir), entries)).select("doc_id", "rule", "fingerprint")
+    return report.with_fingerprint(suppress.suppress(every.drop("fingerprint"), entries)).select("doc_id", "rule", "fingerprint")
 
 
 @_query(f"WITH {_M} SELECT doc_id, rule, fingerprint FROM m WHERE NOT regexp_matches(file, '^src1[0-9]/.*7.txt$')")
@@ -272,7 +278,7 @@ def redact_idempotent(spark, sf_dir):
 @_query(f"WITH {_M} SELECT (SELECT count(*) FROM p) AS equal, (SELECT count(DISTINCT doc_id) FROM m) AS in_vault")
 def redact_restore(spark, sf_dir):
     own = strings(spark, sf_dir).select("doc_id", "value")
-    done = redact.redact_column(own, "value", rules())
+    done = staged(redact.redact_column(own, "value", rules()))
     vault = redact.vault_rows(done, ["doc_id"], "value", "redacted", "run-1")
     back = redact.restore(done.select("doc_id", F.col("redacted").alias("value")), vault, ["doc_id"], "value", "run-1")
     same = back.withColumnRenamed("value", "restored").join(own, "doc_id").agg(F.count_if(F.col("restored") == F.col("value")).alias("equal"))
@@ -289,7 +295,7 @@ fa AS (SELECT source, fingerprint, list_sort(list(DISTINCT masked)) AS v FROM a
 SELECT coalesce(fa.fingerprint, fb.fingerprint) AS fingerprint, CASE WHEN fa.v IS NULL THEN 'new' WHEN fb.v IS NULL THEN 'gone' WHEN fa.v = fb.v THEN 'same' ELSE 'changed' END AS state
 FROM fa FULL OUTER JOIN fb ON fa.source = fb.source AND fa.fingerprint = fb.fingerprint""")
 def finding_diff(spark, sf_dir):
-    f = found(spark, sf_dir)
+    f = kept_findings(spark, sf_dir)
     before = f.where(F.col("rule").isin("aws-access-key", "github-pat") & (F.col("doc_id") % 3 != 0))
     return report.compare(before, f.where(F.col("rule").isin("github-pat", "generic-token"))).select("fingerprint", "state")
 
@@ -348,15 +354,17 @@ def ignore_benchmark_values(spark, sf_dir):
 
 @_query(None)
 def sarif_documents(spark, sf_dir):
-    return report.sarif(found(spark, sf_dir), rules())
+    return report.sarif(kept_findings(spark, sf_dir), rules())
 
 
-@_query(None)
+@_query(f"""WITH {_M}, r AS (SELECT rule, count(*) AS n FROM m GROUP BY 1), s AS (SELECT source, count(*) AS n FROM m GROUP BY 1)
+SELECT '{{"total_findings":' || (SELECT count(*) FROM m) || ',"by_rule":{{' || (SELECT string_agg('"' || rule || '":' || n, ',' ORDER BY rule) FROM r)
+  || '}},"by_source":{{' || (SELECT string_agg('"' || source || '":' || n, ',' ORDER BY source) FROM s) || '}}}}' AS value""")
 def stats_document(spark, sf_dir):
     return report.stats_document(found(spark, sf_dir))
 
 
-@_query(None)
+@_query(f"""WITH {_M} SELECT count(*) AS n, sum(('0x' || substr(md5(concat_ws(':', source, file, '1', rule, sha256(match))), 1, 15))::BIGINT::HUGEINT)::VARCHAR AS digest FROM m""")
 def finding_digest(spark, sf_dir):
     return report.finding_set_hash(found(spark, sf_dir))
 

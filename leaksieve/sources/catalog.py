@@ -20,6 +20,7 @@ class Binding(NamedTuple):
     format: str
     glob: str
     columns: dict[str, tuple[str, ...]] | None = None
+    exclude: str = ""  # a file name that isn't history
 
 
 _VSCDB = {"cursorDiskKV": ("value",), "ItemTable": ("value",)}
@@ -42,7 +43,7 @@ BINDINGS = [
     Binding("gemini-cli", "jsonl", "tmp/**/*.jsonl"),
     Binding("gemini-cli", "json", "tmp/**/chats/**/*.json"),
     Binding("qwen-code", "json", "tmp/**/*.json"),
-    Binding("continue-vscode", "json", "sessions/*[!s].json"),
+    Binding("continue-vscode", "json", "sessions/*.json", exclude="sessions.json"),
     Binding("open-interpreter", "json", "conversations/*.json"),
     Binding("github-copilot-chat", "json", "workspaceStorage/**/chatSessions/*.json"),
     Binding("github-copilot-chat", "jsonl", "workspaceStorage/**/chatSessions/*.jsonl"),
@@ -85,7 +86,7 @@ def path_pattern(glob: str) -> str:
     return out
 
 
-def matching_files(spark: SparkSession, root: str, glob: str) -> list[str]:
+def matching_files(spark: SparkSession, root: str, glob: str, exclude: str = "") -> list[str]:
     """Files below root that match the glob (** crosses folders), by Spark's own listing; pruned and capped in depth.
 
     A list of paths, as spark.read takes it; it grows with the files of one source, not with their content.
@@ -94,6 +95,7 @@ def matching_files(spark: SparkSession, root: str, glob: str) -> list[str]:
     try:
         files = readers.listing(spark, base, glob.rsplit("/", 1)[-1], SKIPPED, DEPTH)
         inner = path_pattern(glob)
+        files = files.where(~F.endswith("file", F.lit(f"/{exclude}"))) if exclude else files
         return [r.file for r in files.where(F.col("file").rlike(rf"^.*?\Q{base.removeprefix('file://')}\E/{inner}$")).select("file").toLocalIterator()]
     except Exception as e:  # an absent root holds no history
         if "PATH_NOT_FOUND" in str(e):
@@ -103,7 +105,7 @@ def matching_files(spark: SparkSession, root: str, glob: str) -> list[str]:
 
 def read_binding(spark: SparkSession, binding: Binding, root: str) -> DataFrame | None:
     """String records of one binding; None where it has no file."""
-    paths = matching_files(spark, root, binding.glob)
+    paths = matching_files(spark, root, binding.glob, binding.exclude)
     if not paths:
         return None
     if binding.format == "jsonl":
@@ -131,7 +133,7 @@ def inventory(spark: SparkSession, roots: Mapping[str, str]) -> DataFrame:
     parts = []
     for source, root in roots.items():
         for b in (b for b in BINDINGS if b.source == source):
-            if paths := matching_files(spark, root, b.glob):
+            if paths := matching_files(spark, root, b.glob, b.exclude):
                 files = spark.read.format("binaryFile").load(paths)
                 parts.append(files.select(F.lit(source).alias("source"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")))
     catalog = spark.createDataFrame([(s,) for s in SOURCES], "source string")

@@ -51,8 +51,11 @@ def split_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return rows.join(F.broadcast(starts), ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "raw")
 
 
-def jsonl_strings(spark: SparkSession, paths: Sequence[str], source: str, root: str | None = None, huge: bool = False) -> DataFrame:
-    """String leaves of each line of JSONL files. Blank lines are numbered but skipped, bad lines give nothing (see jsonl_quality)."""
+def jsonl_strings(spark: SparkSession, paths: Sequence[str], source: str, root: str | None = None, huge: bool = True) -> DataFrame:
+    """String leaves of each line of JSONL files. Blank lines are numbered but skipped, bad lines give nothing (see jsonl_quality).
+
+    huge: files are read in splits; otherwise a file is one row, for files that fit a task.
+    """
     lines = split_lines(spark, paths) if huge else file_lines(spark, paths)
     body = lines.select("file", "line", without_end(F.col("raw")).alias("_body")).where(F.trim("_body") != "")
     return _named(json_strings(body, "_body"), source, root).select(*STRINGS)
@@ -60,7 +63,7 @@ def jsonl_strings(spark: SparkSession, paths: Sequence[str], source: str, root:
 
 def jsonl_quality(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """file, unparseable_lines."""
-    lines = file_lines(spark, paths).withColumn("_body", without_end(F.col("raw"))).where(F.trim("_body") != "")
+    lines = split_lines(spark, paths).withColumn("_body", without_end(F.col("raw"))).where(F.trim("_body") != "")
     return lines.withColumn("failed", walker()(F.col("_body"))["failed"]).groupBy("file").agg(F.sum(F.col("failed").cast("long")).alias("unparseable_lines"))
 
 

@@ -130,6 +130,8 @@ def test_reports(spark):
     assert top.occurrences == 2 and [p.file for p in top.places] == ["f0", "f1"] and top.rotation.startswith("Rotate")
     doc = report.sarif(found, R.builtin_rules()).first()["value"]
     assert AWS not in doc and GIT not in doc and '"version":"2.1.0"' in doc
+    parts = report.sarif(scan(strings(spark, [AWS] * 40), R.builtin_rules()), R.builtin_rules(), results=10).collect()
+    assert len(parts) > 2 and sum(p.value.count('"ruleId"') for p in parts) == 40
     states = {r.fingerprint: r.state for r in report.compare(found.where("file <> 'f0'"), found.where("file <> 'f2'")).collect()}
     assert states == {"f0:1:aws-access-key": "new", "f1:1:aws-access-key": "same", "f2:1:github-pat": "gone"}
     assert report.finding_set_hash(found).first() == report.finding_set_hash(found.repartition(7)).first()

@@ -91,3 +91,13 @@ def test_reports_and_stream(spark, tmp_path):
     q.awaitTermination(120)
     assert [r.rule for r in spark.read.parquet(str(tmp_path / "found")).collect()] == ["aws-access-key"]
     assert scan(strings, builtin_rules()).where(F.col("rule") == "aws-access-key").count() == 1
+
+
+def test_excluded_name_and_names_that_end_alike(spark, tmp_path):
+    folder = tmp_path / "sessions"
+    folder.mkdir()
+    for name in ("notes.json", "a.json", "sessions.json"):
+        (folder / name).write_text('{"text": "x"}')
+    binding = next(b for b in catalog.BINDINGS if b.source == "continue-vscode")
+    found = catalog.matching_files(spark, str(tmp_path), binding.glob, binding.exclude)
+    assert sorted(f.rsplit("/", 1)[-1] for f in found) == ["a.json", "notes.json"]

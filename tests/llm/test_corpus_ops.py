@@ -211,3 +211,17 @@ def test_pipeline_stages_keep_the_columns(spark, tmp_path):
         assert docs.columns == df.columns, name
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "mixing", "packing"]
+
+
+def test_two_texts_under_one_id_are_two_documents(spark):
+    rng = random.Random(17)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    a, b, c = text(), text(), text()
+    near = a.replace(a.split()[30], "changed", 1)
+    rows = [(1, a), (5, near), (5, b), (5, c), (7, c), (7, c), (9, b.upper()), (None, a), (3, None), (4, "")]
+    df = spark.createDataFrame([(i, t, "r", 1, "m") for i, t in rows], "doc_id long, text string, row string, id int, mark string").repartition(3)
+    got = collections.Counter((r.doc_id, r.class_id) for r in bag_minhash.near_duplicates(df).collect())
+    assert got == collections.Counter({(1, 1): 1, (5, 1): 1, (5, 5): 2, (7, 5): 2, (9, 5): 1, (None, None): 1, (3, 3): 1, (4, 3): 1})
+    kept = bag_minhash.without_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, a), (5, b), (5, c), (0, a), (3, "")])

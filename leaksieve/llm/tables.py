@@ -46,12 +46,3 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
-#: Rows of a few numbers that may be broadcast (some MB); beyond it a join shuffles.
-SMALL_ROWS = 300_000
-
-
-def small_side(df: DataFrame) -> DataFrame:
-    """A staged table of a few numbers a row, marked for broadcast if its counted rows are few; otherwise as it is."""
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df

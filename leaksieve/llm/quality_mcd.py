@@ -4,7 +4,7 @@ Each text gives a vector of transformed statistics. Rows that pass the base rule
 (groups below ``least`` rows join their language's pool, and pools below it one common pool). Each group's location and
 scatter come from concentration steps started from two deterministic estimates (median with interquartile scales, and
 the spatial sign covariance); a step keeps the (n + p + 1) / 2 rows with the smallest distances, counted exactly from
-logarithmic distance bins with all rows of the bin that crosses the half. The start with the smaller determinant wins,
+logarithmic distance bins; of the bin that crosses that number the missing part counts. The start with the smaller determinant wins,
 is made consistent for normal data, reweighted once, and rows beyond the cutoff distance are rejected.
 
 A step is one aggregation of sums by (group, start, bin): partial sums before the shuffle, so a hot group costs no more
@@ -18,6 +18,7 @@ gives an empty result.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -127,6 +128,8 @@ def chi2_below(x: float, k: int) -> float:
     return lo
 
 
+#: A determinant's logarithm that moves by less is still.
+STILL = 1e-3
 _MODEL = "grp string, start int, mean array<double>, inv array<double>, logdet double, rows long"
 _X = [f"x{i}" for i in range(P)]
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
@@ -135,7 +138,7 @@ _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 def _model(grp: str, start: int, mean: np.ndarray, cov: np.ndarray, rows: int) -> dict:
     """Scales are in units of their floors: a variance below 1 counts as 1, correlations stay."""
     cov = cov + np.diag(np.maximum(0, 1 - np.diag(cov)))
-    return {"grp": grp, "start": start, "mean": mean, "inv": np.linalg.inv(cov).ravel(), "logdet": float(np.linalg.slogdet(cov)[1]), "rows": rows}
+    return {"grp": grp, "start": start, "mean": mean, "inv": np.linalg.inv(cov).ravel(), "logdet": float(np.linalg.slogdet(cov)[1]), "rows": round(rows)}
 
 
 def _distance() -> Column:
@@ -148,7 +151,7 @@ def _sums() -> list[Column]:
 
 
 def _moments(rows: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    n = int(rows["n"].sum())
+    n = float(rows["n"].sum())
     mean = rows[[f"s_{x}" for x in _X]].sum().to_numpy() / n
     cov = np.zeros((P, P))
     for i, j in _PAIRS:
@@ -158,9 +161,13 @@ def _moments(rows: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
 
 def _concentrate(half: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("bin")
+        rows = rows.sort_values("bin", ignore_index=True)
         total = rows["n"].sum()
-        kept = rows[rows["n"].cumsum() - rows["n"] < max(math.ceil(half * total), (total + P + 1) // 2)]
+        wanted = max(math.ceil(half * total), (total + P + 1) // 2)
+        # the bin that crosses the subset's size counts by the part that still belongs to it
+        part = ((wanted - (rows["n"].cumsum() - rows["n"])) / rows["n"]).clip(0, 1)
+        sums = [c for c in rows.columns if c == "n" or c.startswith("s_") or re.fullmatch(r"s\d+_\d+", c)]
+        kept = rows.assign(**{c: rows[c] * part for c in sums})
         n, mean, cov = _moments(kept)
         return pd.DataFrame([_model(rows["grp"].iloc[0], int(rows["start"].iloc[0]), mean, cov, n)])
 
@@ -200,8 +207,8 @@ def _sign_start(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([_model(first["grp"], 1, np.array(first["mean"]), corr * np.outer(scale, scale), n)])
 
 
-def mcd_models(rows: DataFrame, half: float = 0.5, steps: int = 6) -> DataFrame:
-    """grp, mean, inv, logdet: one model for each group of rows (grp, x0..)."""
+def mcd_models(rows: DataFrame, half: float = 0.5, steps: int = 30) -> DataFrame:
+    """grp, mean, inv, logdet: one model for each group of rows (grp, x0..). Steps end when no group's determinant moves any more."""
     cells = rows.select("grp", F.posexplode(F.array(*(F.floor(F.col(x) * 16) for x in _X))).alias("axis", "cell"))
     first = staged(cells.groupBy("grp", "axis", "cell").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").applyInPandas(_start, _MODEL))
     unit = rows.join(first, "grp")
@@ -212,7 +219,12 @@ def mcd_models(rows: DataFrame, half: float = 0.5, steps: int = 6) -> DataFrame:
     models = staged(first.unionByName(second))
     for _ in range(steps):
         binned = rows.join(models, "grp").select("grp", "start", *_X, F.floor(16 * F.log2(_distance() + 1e-6)).alias("bin"))
-        models = staged(binned.groupBy("grp", "start", "bin").agg(*_sums()).groupBy("grp", "start").applyInPandas(_concentrate(half), _MODEL))
+        stepped = staged(binned.groupBy("grp", "start", "bin").agg(*_sums()).groupBy("grp", "start").applyInPandas(_concentrate(half), _MODEL))
+        before = models.select("grp", "start", F.col("logdet").alias("was"))
+        most = stepped.join(before, ["grp", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
+        models = stepped
+        if most is None or most < STILL:
+            break
     best = models.groupBy("grp").agg(F.min_by(F.struct("start", "mean", "inv", "logdet", "rows"), F.struct("logdet", "start")).alias("m")).select("grp", "m.*")
     factor = half / chi2_below(chi2_quantile(half, P), P + 2)
     inner = rows.join(best, "grp").where(_distance() / F.lit(factor) <= chi2_quantile(0.975, P))

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from leaksieve.llm import quality_mcd
 
 
@@ -48,3 +50,43 @@ def test_a_third_of_a_group_is_rejected(spark):
     got = judged(spark, clean + bad)
     assert sum(got[i].kept for i in range(400)) >= 396
     assert not any(got[i].kept for i in range(400, 600))
+
+
+def brute_force(x, starts=200):
+    """Squared distances of the rows of x by concentration steps from random starts, with the floors of the operator."""
+    rng = np.random.default_rng(3)
+    n, p = x.shape
+    h = (n + p + 1) // 2
+    floored = lambda c: c + np.diag(np.maximum(0, 1 - np.diag(c)))
+    distance = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    best = None
+    for _ in range(starts):
+        rows = rng.choice(n, 4 * p, replace=False)
+        for _ in range(50):
+            m, c = x[rows].mean(0), floored(np.cov(x[rows].T, bias=True))
+            now = np.argsort(distance(m, c), kind="stable")[:h]
+            if set(now) == set(rows):
+                break
+            rows = now
+        m, c = x[rows].mean(0), floored(np.cov(x[rows].T, bias=True))
+        if best is None or np.linalg.slogdet(c)[1] < best[0]:
+            best = np.linalg.slogdet(c)[1], m, c
+    chi, below = quality_mcd.chi2_quantile, quality_mcd.chi2_below
+    good = x[distance(best[1], best[2] * 0.5 / below(chi(0.5, p), p + 2)) <= chi(0.975, p)]
+    return distance(good.mean(0), floored(np.cov(good.T, bias=True) * 0.975 / below(chi(0.975, p), p + 2)))
+
+
+def test_verdicts_equal_brute_force(spark):
+    rng = random.Random(23)
+    word, clean = clean_texts(rng, 260)
+    bad = [" ".join(rng.choice([word().upper(), "##" + word()]) for _ in range(rng.randrange(80, 300))) for _ in range(60)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(clean + bad + bad[:5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = {r.doc_id: r for r in quality_mcd.mcd_quality(df).collect()}
+    stats = quality_mcd.statistics(df)
+    vectors = stats.select("doc_id", *(c.alias(f"v{i}") for i, c in enumerate(quality_mcd._vector()))).where("not base_failed").orderBy("doc_id").toPandas()
+    d2 = brute_force(vectors.drop(columns="doc_id").to_numpy())
+    cutoff = quality_mcd.chi2_quantile(1 - 1e-6, quality_mcd.P)
+    clear = [(i, d <= cutoff) for i, d in zip(vectors["doc_id"], d2, strict=True) if abs(d / cutoff - 1) > 0.1]
+    assert len(clear) > 250 and all(got[i].kept == kept for i, kept in clear)
+    assert np.median([abs(got[i].distance / d - 1) for i, d in zip(vectors["doc_id"], d2, strict=True)]) < 0.15

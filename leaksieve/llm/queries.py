@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaksieve.llm import bag_minhash, histogram_shards, line_edit_join, mpeg_audio, packing, preference_format, quality_mcd, raking, token_counts, toxicity
+from leaksieve.llm import bag_minhash, conversation_repair, histogram_shards, line_edit_join, mpeg_audio, packing, preference_format, quality_crf, quality_mcd, raking, token_counts, toxicity, whitening
 from leaksieve.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,20 @@ def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(docs, model)
 
 
+def op11_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_crf.document_quality(docs, model)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -69,6 +83,9 @@ QUERIES: dict[str, Query] = {
         op8_raked_mixture,
         op9_best_fit_packing,
         op10_ordinal_toxicity,
+        op11_bit_sliced_whitening,
+        op12_conversation_repair,
+        op13_line_crf_quality,
     )
 }
 

@@ -1,7 +1,7 @@
 """Redaction: findings become replaced texts, written only if valid, with a vault to restore from and an audit.
 
-A string's new text is a fold over its hits in the row, so redacting a column is a projection. Lines of JSONL files are
-rewritten by key path in an Arrow function; untouched lines stay as they are, byte for byte.
+A string's new text is a fold over its hits in the row, so redacting a column is a projection. JSON lines and whole JSON files
+are rewritten by splicing at key paths in an Arrow function; every other byte stays as it is.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from leaksieve.functions.rules import Rule, rules_table
+from leaksieve.functions.json_splice import Refused, spliced
+from leaksieve.functions.rules import Rule
 from leaksieve.functions.text import check_template, line_end, without_end
 from leaksieve.operators.scan import with_hits
 
@@ -35,101 +36,95 @@ def replaced(value: Column, hits: Column, names: Column, template: str) -> Colum
     return F.when(F.size(hits) > 0, whole).otherwise(value)
 
 
-def redact_column(df: DataFrame, column: str, rules: Sequence[Rule], template: str = TEMPLATE, only: Sequence[str] = (), name: str = "redacted", words: Sequence[str] = ()) -> DataFrame:
-    """df with a column of redacted texts and n_redacted; null stays null. only: names of the rules that are applied."""
+def _free(name: str, columns: Sequence[str]) -> str:
+    """A column name that isn't taken."""
+    while name in columns:
+        name = "_" + name
+    return name
+
+
+def redact_column(df: DataFrame, column: str, rules: Sequence[Rule], template: str = TEMPLATE, only: Sequence[str] = (), name: str = "redacted", words: Sequence[str] = (), count: str = "n_redacted") -> DataFrame:
+    """df with a column of redacted texts (name) and of the number of redactions (count); null stays null. only: names of the rules that are applied.
+
+    Columns of df are never overwritten: a name that is taken is an error.
+    """
+    if taken := {name, count} & set(df.columns):
+        raise ValueError(f"columns {sorted(taken)} exist already: choose other names")
+    hits = _free("_hits", df.columns)
     names = F.create_map(*(x for r in rules for x in (F.lit(r.order), F.lit(r.rule))))
     chosen = [r.order for r in rules if not only or r.rule in only]
-    found = with_hits(df, column, rules, "_hits", words)
+    found = with_hits(df, column, rules, hits, words)
     if only:
-        found = found.withColumn("_hits", F.filter("_hits", lambda h: h["idx"].isin(*chosen)))
-    return found.withColumns({name: F.when(F.col(column).isNotNull(), replaced(F.col(column), F.col("_hits"), names, template)), "n_redacted": F.size("_hits").cast("long")}).drop("_hits")
+        found = found.withColumn(hits, F.filter(hits, lambda h: h["idx"].isin(*chosen)))
+    return found.withColumns({name: F.when(F.col(column).isNotNull(), replaced(F.col(column), F.col(hits), names, template)), count: F.size(hits).cast("long")}).drop(hits)
 
 
 def redactions(findings: DataFrame, strings: DataFrame, template: str = TEMPLATE) -> DataFrame:
-    """(file, line, keypath, new_value) for each string with findings: all of its spans in one rewrite."""
+    """(file, line, keypath, path, new_value) for each string with findings: all of its spans in one rewrite.
+
+    Strings are told apart by path where both sides have it (it tells list places from keys that are digits), else by keypath.
+    """
     check_template(template)
-    keys = ["file", "line", "keypath"]
+    exact = "path" in findings.columns and "path" in strings.columns
+    keys = ["file", "line", "path" if exact else "keypath"]
+    more = [c for c in ("keypath", "path") if c in strings.columns and c not in keys]
     spans = findings.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", F.col("rule_idx").alias("idx"), "end", F.col("match").alias("value")))).alias("hits"), F.map_from_entries(F.collect_set(F.struct("rule_idx", "rule"))).alias("names"))
-    return strings.join(spans, keys).select(*keys, replaced(F.col("value"), F.col("hits"), F.col("names"), template).alias("new_value"))
+    return strings.select(*keys, *more, "value").join(spans, keys).select(*keys, *more, replaced(F.col("value"), F.col("hits"), F.col("names"), template).alias("new_value"))
 
 
 @F.arrow_udf(StringType())
 def set_at(documents: pa.Array, changes: pa.Array) -> pa.Array:
-    """A JSON document with strings replaced at key paths (JSON arrays of keys); null where a path doesn't lead to one."""
+    """A JSON text with strings replaced at key paths (JSON arrays of keys), every other byte kept; null where it is refused."""
     out = []
     for text, todo in zip(documents.to_pylist(), changes.to_pylist(), strict=True):
+        new: dict[tuple, str] = {}
         try:
-            doc = json.loads(text)
-            for change in todo:
-                *way, last = json.loads(change["path"])
-                at = doc
-                for k in way:
-                    at = at[k]
-                if not isinstance(at[last], str):
-                    raise TypeError("no string there")
-                at[last] = change["new_value"]
-            out.append(json.dumps(doc, ensure_ascii=False))
-        except (ValueError, TypeError, KeyError, IndexError):
+            for change in todo if text is not None else ():
+                path = tuple(json.loads(change["path"]))
+                if new.setdefault(path, change["new_value"]) != change["new_value"]:
+                    raise Refused("two texts for one path")
+            out.append(spliced(text, new) if text is not None else None)
+        except ValueError:
             out.append(None)
     return pa.array(out, pa.string())
 
 
+def _rewritten(rows: DataFrame, new: Column) -> DataFrame:
+    """file, line, raw, changed, failed and was (the text before, where it changed) of rows (file, line, raw, todo)."""
+    done = rows.withColumn("_new", new)
+    touched = F.col("todo").isNotNull()
+    worked = touched & F.col("_new").isNotNull()
+    changed = worked & (F.col("_new") != F.col("raw"))
+    return done.select("file", "line", F.when(worked, F.col("_new")).otherwise(F.col("raw")).alias("raw"), changed.alias("changed"), (touched & F.col("_new").isNull()).alias("failed"), F.when(changed, F.col("raw")).alias("was"))
+
+
 def redact_json_lines(lines: DataFrame, changes: DataFrame) -> DataFrame:
-    """lines (file, line, raw with its end) and changes (file, line, path, new_value) -> raw rewritten where changed, and failed.
+    """lines (file, line, raw with its end) and changes (file, line, path, new_value) -> lines with raw rewritten where changed, failed and was.
 
-    A line whose change can't be applied stays as it was and is marked failed: the file must not be written.
+    Only the changed strings' bytes differ. A line whose change can't be applied stays as it was and is marked failed: the file must not be written.
     """
     todo = changes.groupBy("file", "line").agg(F.collect_list(F.struct("path", "new_value")).alias("todo"))
-    joined = lines.join(todo, ["file", "line"], "left")
-    body = without_end(F.col("raw"))
-    new = set_at(F.when(F.col("todo").isNotNull(), body), F.coalesce("todo", F.array().cast("array<struct<path:string,new_value:string>>")))
-    staged = joined.withColumn("_new", new)
-    failed = F.col("todo").isNotNull() & F.col("_new").isNull()
-    raw = F.when(F.col("todo").isNotNull() & F.col("_new").isNotNull(), F.concat("_new", line_end(F.col("raw")))).otherwise(F.col("raw"))
-    return staged.select("file", "line", raw.alias("raw"), F.col("todo").isNotNull().alias("changed"), failed.alias("failed"))
-
+    joined = lines.select("file", "line", "raw").join(todo, ["file", "line"], "left")
+    body = F.when(F.col("todo").isNotNull(), without_end(F.col("raw")))
+    new = set_at(body, F.coalesce("todo", F.array().cast("array<struct<path:string,new_value:string>>")))
+    return _rewritten(joined, F.concat(new, line_end(F.col("raw"))))
 
-def redact_text_lines(lines: DataFrame, changes: DataFrame) -> DataFrame:
-    """As redact_json_lines, for plain text: changes are (file, line, new_value)."""
-    one = changes.groupBy("file", "line").agg(F.min("new_value").alias("new_value"))
-    joined = lines.join(one, ["file", "line"], "left")
-    raw = F.when(F.col("new_value").isNotNull(), F.concat("new_value", line_end(F.col("raw")))).otherwise(F.col("raw"))
-    return joined.select("file", "line", raw.alias("raw"), F.col("new_value").isNotNull().alias("changed"), F.lit(False).alias("failed"))
 
+def redact_json_files(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """files (file, text: one JSON document) and changes (file, path, new_value), as redact_json_lines; each file is its line 1."""
+    whole = files.select("file", F.lit(1).cast("long").alias("line"), F.col("text").alias("raw"))
+    todo = changes.groupBy("file").agg(F.collect_list(F.struct("path", "new_value")).alias("todo"))
+    joined = whole.join(todo, "file", "left")
+    body = F.when(F.col("todo").isNotNull(), F.col("raw"))
+    return _rewritten(joined, set_at(body, F.coalesce("todo", F.array().cast("array<struct<path:string,new_value:string>>"))))
 
-def file_statuses(before: DataFrame, after: DataFrame, json_lines: bool) -> DataFrame:
-    """file, status (ok, skip, fail), note: a file is ok if every line parses (JSONL) and the number of lines is as before.
 
-    before and after: (file, line, raw); after also has changed and failed. A file without a change is skipped, so a second
-    run writes nothing.
-    """
-    was = before.groupBy("file").agg(F.count(F.lit(1)).alias("lines_before"), F.sum(F.octet_length("raw")).alias("bytes_before"))
-    body = F.trim(without_end(F.col("raw")))
-    broken = (F.col("changed") & (body != "") & F.try_parse_json(body).isNull()) if json_lines else F.lit(False)
-    is_ = after.groupBy("file").agg(
-        F.count(F.lit(1)).alias("lines_after"), F.sum(F.octet_length("raw")).alias("bytes_after"), F.max("changed").alias("changed"), F.sum(F.col("failed").cast("long")).alias("failed"), F.sum(broken.cast("long")).alias("broken")
-    )
-    both = was.join(is_, "file", "full_outer")
-    note = (
-        F.when(F.col("lines_after").isNull() | (F.col("lines_before") != F.col("lines_after")), "the number of lines would change")
-        .when(F.col("failed") > 0, "a change could not be applied")
-        .when(F.col("broken") > 0, "a line would not parse")
-    )
-    status = F.when(note.isNotNull(), "fail").when(F.col("changed"), "ok").otherwise("skip")
-    return both.select("file", status.alias("status"), note.alias("note"), "bytes_before", "bytes_after")
-
-
-def whole_texts(lines: DataFrame) -> DataFrame:
-    """file, text of (file, line, raw): a file is what one reader row held before."""
-    return lines.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "raw"))), lambda x: x["raw"]), "").alias("text"))
-
-
-def audit_rows(before: DataFrame, after: DataFrame, statuses: DataFrame, run_id: str) -> DataFrame:
-    """ts, run_id, file, digests and sizes of each file that is written. before and after: (file, text)."""
-    a = before.select("file", F.sha2("text", 256).alias("original_sha256"), F.octet_length("text").cast("long").alias("bytes_before"))
-    b = after.select("file", F.sha2("text", 256).alias("new_sha256"), F.octet_length("text").cast("long").alias("bytes_after"))
-    ok = statuses.where(F.col("status") == "ok").select("file")
-    return a.join(b, "file").join(ok, "file").select(F.current_timestamp().alias("ts"), F.lit(run_id).alias("run_id"), "*")
+def redact_text_lines(lines: DataFrame, changes: DataFrame) -> DataFrame:
+    """As redact_json_lines, for plain text: changes are (file, line, new_value). Two different texts for one line fail it, as does one with a line break."""
+    todo = changes.groupBy("file", "line").agg(F.min("new_value").alias("todo"), F.max("new_value").alias("_other"))
+    joined = lines.select("file", "line", "raw").join(todo, ["file", "line"], "left")
+    new = F.when((F.col("todo") == F.col("_other")) & ~F.col("todo").rlike(r"[\r\n]"), F.concat("todo", line_end(F.col("raw"))))
+    return _rewritten(joined, new)
 
 
 def vault_rows(changed: DataFrame, keys: Sequence[str], original: str, redacted: str, run_id: str) -> DataFrame:

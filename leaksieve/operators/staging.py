@@ -5,20 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Folders made by this process for applications that name none, by application id.
 _own: dict[str, str] = {}
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written as Parquet below spark.checkpoint.dir (a new temporary folder where that is unset, as in tests) and read back."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """A path of its own below spark.checkpoint.dir (below a new temporary folder where that is unset, as in tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         app = spark.sparkContext.applicationId
         base = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="spark-")
         _own[app] = base
-    path = f"{base.rstrip('/')}/kept-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/kept-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written as Parquet in a new folder and read back."""
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leaksieve.functions.rules import Rule
-from leaksieve.operators import budget, redact, report, suppress
+from leaksieve.operators import budget, commit, redact, report, suppress
 from leaksieve.operators.scan import scan
+from leaksieve.operators.staging import staged
 
 
 class Scan(NamedTuple):
@@ -49,16 +50,31 @@ def write_reports(result: Scan, rules: Sequence[Rule], out: str) -> None:
     report.sarif(findings, rules).select("value").write.mode("overwrite").text(f"{out}/sarif")
 
 
+def rewritten(kind: str, rows: DataFrame, strings: DataFrame, findings: DataFrame, template: str = redact.TEMPLATE) -> DataFrame:
+    """The lines of history files with their findings redacted (file, line, raw, changed, failed, was); nothing is written.
+
+    kind: jsonl or text (rows: file, line, raw) or json (rows: file, text, one document each). strings: the records the findings come from.
+    """
+    changes = redact.redactions(findings, strings, template)
+    if kind == "jsonl":
+        return redact.redact_json_lines(rows, changes.select("file", "line", "path", "new_value"))
+    if kind == "json":
+        return redact.redact_json_files(rows, changes.select("file", "path", "new_value"))
+    return redact.redact_text_lines(rows, changes.select("file", "line", "new_value"))
+
+
+def redact_files(kind: str, rows: DataFrame, strings: DataFrame, findings: DataFrame, target: str, run_id: str, template: str = redact.TEMPLATE) -> DataFrame:
+    """Redact, validate and commit below target: files that pass are written with vault and audit, others are only named. Returns the statuses."""
+    return commit.commit(rewritten(kind, rows, strings, findings, template), target, run_id, kind)
+
+
 def redact_jsonl(lines: DataFrame, strings: DataFrame, findings: DataFrame, template: str = redact.TEMPLATE) -> tuple[DataFrame, DataFrame]:
     """(rewritten lines, statuses) of JSONL files: lines is (file, line, raw), strings has path. Files that fail keep their lines."""
-    paths = strings.select("file", "line", "keypath", "path", "value")
-    changes = redact.redactions(findings, paths, template).join(strings.select("file", "line", "keypath", "path"), ["file", "line", "keypath"])
-    new = redact.redact_json_lines(lines, changes.select("file", "line", "path", "new_value"))
-    statuses = redact.file_statuses(lines, new, json_lines=True)
+    new = staged(rewritten("jsonl", lines, strings, findings, template))
+    statuses = commit.file_statuses(new, "jsonl")
     ok = statuses.where(F.col("status") == "ok").select("file", F.lit(True).alias("_ok"))
-    kept = lines.select("file", "line", F.col("raw").alias("_old"))
-    out = new.join(ok, "file", "left").join(kept, ["file", "line"]).select("file", "line", F.when(F.coalesce("_ok", F.lit(False)), F.col("raw")).otherwise(F.col("_old")).alias("raw"))
-    return out, statuses
+    kept = F.when(F.coalesce("_ok", F.lit(False)), F.col("raw")).otherwise(F.coalesce("was", "raw"))
+    return new.join(ok, "file", "left").select("file", "line", kept.alias("raw")), statuses
 
 
 def redact_table(table: DataFrame, keys: Sequence[str], columns: Sequence[str], rules: Sequence[Rule], run_id: str, template: str = redact.TEMPLATE) -> tuple[DataFrame, DataFrame]:

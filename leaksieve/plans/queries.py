@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from leaksieve.functions import text as T
 from leaksieve.functions.rules import SEED_PHRASE, Rule, builtin_rules, with_pack
-from leaksieve.operators import budget, redact, report, seed_phrase, suppress
+from leaksieve.operators import budget, commit, redact, report, seed_phrase, suppress
 from leaksieve.operators.scan import prefilter_pairs, scan
-from leaksieve.operators.staging import staged
+from leaksieve.operators.staging import new_folder, staged
+from leaksieve.plans.history import rewritten
 from leaksieve.sources.walk import json_strings, table_strings, walker
 from leaksieve.streaming.scan_stream import windowed_counts
 
@@ -226,6 +227,16 @@ def file_budget(spark, sf_dir):
     return budget.within_budget(records, 1000).select(F.col("file").alias("conv_id"), F.col("seq").alias("turn"))
 
 
+@_query("""WITH s AS (SELECT lang || '/' || source AS file, doc_id, k::BIGINT AS seq, line FROM (
+  SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents))
+SELECT file, doc_id, seq FROM (SELECT *, coalesce(sum(length(line)) OVER (PARTITION BY file ORDER BY doc_id, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM s) WHERE used <= 20000""")
+def line_budget(spark, sf_dir):
+    """One file for each language and source, a line for each document, a string for each of its lines: the first 20,000 characters of each file."""
+    d = documents(spark, sf_dir).select("lang", F.concat_ws("/", "lang", "source").alias("file"), F.col("doc_id").alias("line"), F.posexplode(F.split("text", "\n")).alias("k", "value"))
+    kept = budget.within_budget(d.select(F.col("lang").alias("source"), "file", "line", (F.col("k") + 1).cast("long").alias("seq"), "value"), 20_000)
+    return kept.select("file", F.col("line").alias("doc_id"), "seq")
+
+
 @_query("""SELECT doc_id, k::BIGINT AS line, length(line) AS chars, md5(line) AS digest FROM (
   SELECT doc_id, unnest(string_split(rtrim(text, chr(10)), chr(10))) AS line, generate_subscripts(string_split(rtrim(text, chr(10)), chr(10)), 1) AS k FROM documents WHERE text <> '')""")
 def line_explode(spark, sf_dir):
@@ -285,6 +296,46 @@ def redact_restore(spark, sf_dir):
     return same.crossJoin(F.broadcast(vault.agg(F.count(F.lit(1)).alias("in_vault"))))
 
 
+def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, file, doc: the planted documents as JSON texts with white space, numbers and lists of their own."""
+    value = planted(F.col("text"), F.col("doc_id"))
+    for char, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        value = F.replace(value, F.lit(char), F.lit(escaped))
+    doc = F.concat(F.lit('{ "id" : '), F.col("doc_id").cast("string"), F.lit('.0,  "parts": [1.50, {"text":"'), value, F.lit('"} ,null],"more":{ } }\n'))
+    return documents(spark, sf_dir).select("doc_id", F.concat_ws("/", "lang", "source").alias("file"), doc.alias("doc"))
+
+
+_J = f"""{_P}, j AS (SELECT doc_id, lang || '/' || source AS file, '{{ "id" : ' || doc_id || '.0,  "parts": [1.50, {{"text":"' || replace(replace(replace(replace(replace(value, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')
+  || '"}} ,null],"more":{{ }} }}' || chr(10) AS doc FROM p),
+r AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(doc, '\\bAKIA[0-9A-Z]{{16}}\\b', '[REDACTED:aws-access-key]', 'g'), '\\bghp_[A-Za-z0-9]{{36}}\\b', '[REDACTED:github-pat]', 'g'),
+  '\\btoken = \\\\"[0-9a-f]{{40}}\\\\"', '[REDACTED:generic-token]', 'g') AS new FROM j)"""
+
+
+@_query(f"WITH {_J} SELECT doc_id, md5(new) AS digest, new <> doc AS changed FROM r")
+def redact_json_documents(spark, sf_dir):
+    """Whole JSON texts, walked, scanned and rewritten in place: only the strings with findings differ."""
+    files = json_documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file"), F.col("doc").alias("text"))
+    found_in = json_strings(files.withColumn("line", F.lit(1).cast("long")), "text")
+    done = rewritten("json", files, found_in, staged(scan(found_in, rules())))
+    return done.select(F.col("file").cast("long").alias("doc_id"), F.md5(F.col("raw").cast("binary")).alias("digest"), "changed")
+
+
+@_query(f"""WITH {_J}, k AS (SELECT file, doc_id, CASE WHEN doc_id % 401 = 7 THEN '{{"id": 0}}' || chr(10) ELSE doc END AS raw, CASE WHEN doc_id % 401 = 7 THEN '{{"id": 0}}' || chr(10) ELSE new END AS new, doc_id % 401 = 7 AND new <> doc AS failed FROM r),
+f AS (SELECT file, count(*) AS lines, count(*) FILTER (raw <> new) AS changed_lines, sum(strlen(raw))::BIGINT AS bytes_before, sum(strlen(new))::BIGINT AS bytes_after, count(*) FILTER (failed) AS failed FROM k GROUP BY file)
+SELECT file, CASE WHEN failed > 0 THEN 'fail' WHEN changed_lines > 0 THEN 'ok' ELSE 'skip' END AS status, CASE WHEN failed > 0 THEN 'a change could not be applied' END AS note, lines, changed_lines, bytes_before, bytes_after,
+  CASE WHEN failed = 0 AND changed_lines > 0 THEN lines ELSE 0 END AS lines_written FROM f""")
+def validated_commit(spark, sf_dir):
+    """Documents as JSONL files by language and source, of which some lines change after the scan: those files are refused, the others written."""
+    lines = json_documents(spark, sf_dir).select("file", F.col("doc_id").alias("line"), F.col("doc").alias("raw"))
+    found_in = json_strings(lines, "raw")
+    hits = staged(scan(found_in, rules()))
+    later = lines.withColumn("raw", F.when(F.col("line") % 401 == 7, F.lit('{"id": 0}\n')).otherwise(F.col("raw")))
+    target = new_folder(spark)
+    statuses = commit.commit(rewritten("jsonl", later, found_in, hits), target, "run-1", "jsonl")
+    written = commit.current(spark, target).groupBy("file").agg(F.count(F.lit(1)).alias("lines_written"))
+    return statuses.join(written, "file", "left").select("file", "status", "note", "lines", "changed_lines", "bytes_before", "bytes_after", F.coalesce("lines_written", F.lit(0)).alias("lines_written"))
+
+
 @_query("SELECT doc_id, sha256(text) AS digest, strlen(text) AS n_bytes FROM documents")
 def content_hashes(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))

@@ -16,6 +16,7 @@ from pyspark.sql.types import StringType
 
 from leaksieve.functions.json_splice import Refused, spliced
 from leaksieve.functions.rules import Rule
+from leaksieve.functions.slices import by_slices
 from leaksieve.functions.text import check_template, line_end, without_end
 from leaksieve.operators.scan import with_hits
 
@@ -72,9 +73,7 @@ def redactions(findings: DataFrame, strings: DataFrame, template: str = TEMPLATE
     return strings.select(*keys, *more, "value").join(spans, keys).select(*keys, *more, replaced(F.col("value"), F.col("hits"), F.col("names"), template).alias("new_value"))
 
 
-@F.arrow_udf(StringType())
-def set_at(documents: pa.Array, changes: pa.Array) -> pa.Array:
-    """A JSON text with strings replaced at key paths (JSON arrays of keys), every other byte kept; null where it is refused."""
+def _spliced(documents: pa.Array, changes: pa.Array) -> pa.Array:
     out = []
     for text, todo in zip(documents.to_pylist(), changes.to_pylist(), strict=True):
         new: dict[tuple, str] = {}
@@ -89,6 +88,12 @@ def set_at(documents: pa.Array, changes: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+@F.arrow_udf(StringType())
+def set_at(documents: pa.Array, changes: pa.Array) -> pa.Array:
+    """A JSON text with strings replaced at key paths (JSON arrays of keys), every other byte kept; null where it is refused."""
+    return by_slices(_spliced, pa.string(), documents, changes)
+
+
 def _rewritten(rows: DataFrame, new: Column) -> DataFrame:
     """file, line, raw, changed, failed and was (the text before, where it changed) of rows (file, line, raw, todo)."""
     done = rows.withColumn("_new", new)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from leaksieve.functions.rules import DEFAULT_ROTATION, SEED_PHRASE, Rule, rules_table
 from leaksieve.functions.seed_words import phrases
+from leaksieve.functions.slices import by_slices
 from leaksieve.functions.text import masked
 
 HIT = "struct<start:int,idx:int,end:int,value:string>"
@@ -65,8 +66,7 @@ def span_finder(rules: tuple[Rule, ...], words: tuple[str, ...] = ()) -> Spans:
 def _finder(rules: Sequence[Rule], words: Sequence[str]):
     rules, words = tuple(rules), tuple(words)
 
-    @F.arrow_udf(f"array<{HIT}>")
-    def run(values: pa.Array) -> pa.Array:
+    def some(values: pa.Array) -> pa.Array:
         spans = span_finder(rules, words)
         offsets, starts, which, ends, found = [0], [], [], [], []
         for text in values.to_pylist():
@@ -79,6 +79,10 @@ def _finder(rules: Sequence[Rule], words: Sequence[str]):
         columns = [pa.array(x, pa.int32()) for x in (starts, which, ends)] + [pa.array(found, pa.string())]
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(_ARROW_HIT)))
 
+    @F.arrow_udf(f"array<{HIT}>")
+    def run(values: pa.Array) -> pa.Array:
+        return by_slices(some, pa.list_(_ARROW_HIT), values)
+
     return run
 
 

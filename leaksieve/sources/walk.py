@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from leaksieve.functions.slices import by_slices
+
 _LEAF = pa.struct([("keypath", pa.list_(pa.string())), ("path", pa.string()), ("value", pa.string())])
+_WALKED = pa.struct([("failed", pa.bool_()), ("strings", pa.list_(_LEAF))])
 
 
 def leaves(doc, scalars: bool = False) -> Iterator[tuple[list, str]]:
@@ -37,8 +40,7 @@ def walker(scalars: bool = False):
     tells numbers from digits.
     """
 
-    @F.arrow_udf("struct<failed:boolean,strings:array<struct<keypath:array<string>,path:string,value:string>>>")
-    def walk(texts: pa.Array) -> pa.Array:
+    def some(texts: pa.Array) -> pa.Array:
         out = []
         for text in texts.to_pylist():
             try:
@@ -47,7 +49,11 @@ def walker(scalars: bool = False):
                 out.append({"failed": False, "strings": [{"keypath": [clean(str(k)) for k in p], "path": json.dumps(p), "value": clean(v)} for p, v in found]})
             except (ValueError, RecursionError):
                 out.append({"failed": True, "strings": []})
-        return pa.array(out, pa.struct([("failed", pa.bool_()), ("strings", pa.list_(_LEAF))]))
+        return pa.array(out, _WALKED)
+
+    @F.arrow_udf("struct<failed:boolean,strings:array<struct<keypath:array<string>,path:string,value:string>>>")
+    def walk(texts: pa.Array) -> pa.Array:
+        return by_slices(some, _WALKED, texts)
 
     return walk
 

@@ -1,20 +1,18 @@
-"""Readers: files of each format to string records (source, file, relpath, line, seq, keypath, path, value)."""
+"""Readers for named paths in any store that Spark lists, to string records (source, file, relpath, line, seq, keypath, path, value).
+
+Discovered files, databases and files that don't fit a row are read by sources.files; Spark's own listing hides names that begin with a dot.
+"""
 
 from __future__ import annotations
 
-import json
-import sqlite3
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leaksieve.functions.text import physical_lines, text_lines, without_end
 from leaksieve.sources.walk import json_strings, leaves, walker
 
-#: Fixed value: whole-JSON files above this many bytes are left out.
-JSON_LIMIT = 100_000_000
 STRINGS = ("source", "file", "relpath", "line", "seq", "keypath", "path", "value")
 
 
@@ -48,7 +46,7 @@ def split_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     blocks = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return rows.join(F.broadcast(starts), ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "raw")
+    return rows.join(starts, ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "raw")
 
 
 def jsonl_strings(spark: SparkSession, paths: Sequence[str], source: str, root: str | None = None, huge: bool = True) -> DataFrame:
@@ -68,8 +66,8 @@ def jsonl_quality(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def json_file_strings(spark: SparkSession, paths: Sequence[str], source: str, root: str | None = None) -> DataFrame:
-    """String leaves of whole-JSON files up to the size limit (tested on the listing, before the text is read)."""
-    docs = whole_files(spark, paths).where(F.col("size") <= JSON_LIMIT).select("file", F.lit(1).cast("long").alias("line"), F.col("text").alias("_body"))
+    """String leaves of whole-JSON files, a file a row."""
+    docs = whole_files(spark, paths).select("file", F.lit(1).cast("long").alias("line"), F.col("text").alias("_body"))
     return _named(json_strings(docs, "_body"), source, root).select(*STRINGS)
 
 
@@ -79,79 +77,3 @@ def text_strings(spark: SparkSession, paths: Sequence[str], source: str, root: s
     numbered = lines.withColumns({"line": (F.col("_k") + 1).cast("long"), "seq": F.lit(0)})
     keyed = numbered.withColumns({"keypath": F.array(F.col("line").cast("string")), "path": F.concat(F.lit("["), F.col("line").cast("string"), F.lit("]"))})
     return _named(keyed, source, root).select(*STRINGS)
-
-
-class SchemaDrift(Exception):
-    """A known table has none of the expected text columns."""
-
-
-def _quote(name: str) -> str:
-    return '"' + name.replace('"', '""') + '"'
-
-
-def database_cells(content: bytes, columns: Mapping[str, Sequence[str]] | None) -> Iterator[tuple[str, int, str, str]]:
-    """(table, rowid, column, text) of one SQLite database held in memory; columns: the tables and columns wanted, None for all.
-
-    Tables that aren't there are skipped; one that is there without any wanted column is schema drift. Only text counts.
-    """
-    con = sqlite3.connect(":memory:")
-    try:
-        con.deserialize(content)
-        con.text_factory = lambda b: b.decode("utf-8", "replace")
-        present = [r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite\\_%' ESCAPE '\\'")]
-        for table in present if columns is None else [t for t in columns if t in present]:
-            have = [r[1] for r in con.execute(f"PRAGMA table_info({_quote(table)})")]
-            want = have if columns is None else [c for c in columns[table] if c in have]
-            if not want:
-                raise SchemaDrift(f"table {table} has none of the columns {list(columns[table])}" if columns else f"table {table} has no columns")
-            for column in want:
-                try:
-                    rows = con.execute(f"SELECT rowid, {_quote(column)} FROM {_quote(table)} WHERE typeof({_quote(column)}) = 'text'")
-                    yield from ((table, rowid, column, value) for rowid, value in rows if value)
-                except sqlite3.OperationalError:  # no rowid, or a virtual table
-                    continue
-    finally:
-        con.close()
-
-
-def sqlite_strings(spark: SparkSession, paths: Sequence[str], source: str, columns: Mapping[str, Sequence[str]] | None = None, root: str | None = None, strict: bool = False) -> DataFrame:
-    """Strings of SQLite files: JSON cells give their leaves below (table, rowid, column), other text the cell itself.
-
-    A cell that is a JSON scalar gives the whole text, or nothing with strict. Files that aren't databases give nothing.
-    """
-    wanted = json.dumps(columns) if columns is not None else None
-    schema = "file string, line long, seq int, keypath array<string>, path string, value string"
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = json.loads(wanted) if wanted else None
-        types = pa.schema([("file", pa.string()), ("line", pa.int64()), ("seq", pa.int32()), ("keypath", pa.list_(pa.string())), ("path", pa.string()), ("value", pa.string())])
-        for batch in batches:
-            for file, content in zip(batch["file"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                rows: list[dict] = []
-                try:
-                    for table, rowid, column, text in database_cells(content, names):
-                        base = [table, rowid, column]
-                        try:
-                            doc = json.loads(text)
-                            found = list(leaves(doc))
-                            if not isinstance(doc, (dict, list)):
-                                found = [] if strict else [([], text)]
-                        except ValueError:
-                            found = [([], text)]
-                        rows += [{"file": file, "line": max(rowid, 1), "seq": len(rows) + n, "keypath": [str(k) for k in base + p], "path": json.dumps(base + p), "value": v} for n, (p, v) in enumerate(found)]
-                except sqlite3.DatabaseError:
-                    continue
-                yield from pa.Table.from_pylist(rows, types).to_batches(10_000)
-
-    files = spark.read.format("binaryFile").load(list(paths)).select(F.col("path").alias("file"), "content")
-    return _named(files.mapInArrow(read, schema), source, root).select(*STRINGS)
-
-
-def listing(spark: SparkSession, root: str, glob: str = "*", skip: Sequence[str] = (), depth: int | None = None) -> DataFrame:
-    """file, size, modified of the files below root, without their content; pruned by directory names and depth."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    out = files.select(F.col("path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-    below = F.split(F.regexp_replace("file", "^.*?" + _quoted(root.removeprefix("file://").rstrip("/") + "/"), ""), "/")
-    if skip:
-        out = out.where(~F.arrays_overlap(F.slice(below, F.lit(1), F.size(below) - 1), F.array(*map(F.lit, skip))) | (F.size(below) == 1))
-    return out if depth is None else out.where(F.size(below) <= depth)

@@ -1,7 +1,5 @@
 import json
-import sqlite3
 
-import pytest
 from pyspark.sql import functions as F
 
 from leaksieve.functions.rules import builtin_rules
@@ -39,20 +37,6 @@ def test_text_lines_break_at_wide_separators(spark, tmp_path):
     assert sorted((r.line, r.value) for r in got) == [(1, "one"), (2, "two"), (4, " three "), (5, "four")]
 
 
-def test_sqlite(spark, tmp_path):
-    path = tmp_path / "x.db"
-    con = sqlite3.connect(path)
-    con.execute("CREATE TABLE messages (id INTEGER PRIMARY KEY, parts TEXT, n INTEGER, raw BLOB)")
-    con.execute("INSERT INTO messages VALUES (7, ?, 3, x'00'), (8, 'plain', 4, NULL), (9, '\"scalar\"', 1, NULL)", (json.dumps({"a": [AWS]}),))
-    con.commit()
-    con.close()
-    got = readers.sqlite_strings(spark, [str(path)], "s").collect()
-    assert sorted((r.line, tuple(r.keypath), r.value) for r in got) == [(7, ("messages", "7", "parts", "a", "0"), AWS), (8, ("messages", "8", "parts"), "plain"), (9, ("messages", "9", "parts"), '"scalar"')]
-    assert readers.sqlite_strings(spark, [str(path)], "s", {"messages": ["parts"]}, strict=True).count() == 2
-    with pytest.raises(Exception, match="has none of the columns"):
-        readers.sqlite_strings(spark, [str(path)], "s", {"messages": ["gone"]}).count()
-
-
 def test_table_strings_take_nested_columns(spark):
     df = spark.createDataFrame([(1, ("a", 2), "b"), (2, (None, 3), " ")], "id int, s struct<x string, n int>, y string")
     got = walk.table_strings(df, ["id"], "t").collect()
@@ -91,13 +75,3 @@ def test_reports_and_stream(spark, tmp_path):
     q.awaitTermination(120)
     assert [r.rule for r in spark.read.parquet(str(tmp_path / "found")).collect()] == ["aws-access-key"]
     assert scan(strings, builtin_rules()).where(F.col("rule") == "aws-access-key").count() == 1
-
-
-def test_excluded_name_and_names_that_end_alike(spark, tmp_path):
-    folder = tmp_path / "sessions"
-    folder.mkdir()
-    for name in ("notes.json", "a.json", "sessions.json"):
-        (folder / name).write_text('{"text": "x"}')
-    binding = next(b for b in catalog.BINDINGS if b.source == "continue-vscode")
-    found = catalog.matching_files(spark, str(tmp_path), binding.glob, binding.exclude)
-    assert sorted(f.rsplit("/", 1)[-1] for f in found) == ["a.json", "notes.json"]

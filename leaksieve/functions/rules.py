@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leaksieve.functions.rule_data import DETECTOR, RULES
 
-SEED_PHRASE = "bip39-mnemonic"
+SEED_PHRASE = DETECTOR[0]
 DEFAULT_ROTATION = "rotate via the issuing provider"
 
 

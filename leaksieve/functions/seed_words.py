@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 #: Lengths tried (longest first), the most characters between words, the least separators, the version tags.
 LENGTHS = (24, 21, 18, 15, 12)
@@ -15,13 +15,10 @@ SEPARATORS = 11
 TAGS = ("01", "100", "101", "102")
 
 
-def checksum_holds(indices: list[int]) -> bool:
-    """11 bits a word: the last third of a bit per word are the first of the SHA-256 of the bits before."""
-    check = len(indices) // 3
-    bits = 0
-    for i in indices:
-        bits = bits << 11 | i
-    entropy = (bits >> check).to_bytes((11 * len(indices) - check) // 8, "big")
+def checksum_holds(bits: int, words: int) -> bool:
+    """bits: 11 a word. Of these, the last (one for every three words) are the first of the SHA-256 of the others."""
+    check = words // 3
+    entropy = (bits >> check).to_bytes((11 * words - check) // 8, "big")
     return hashlib.sha256(entropy).digest()[0] >> (8 - check) == bits & ((1 << check) - 1)
 
 
@@ -30,30 +27,48 @@ def tag_holds(words: list[str]) -> bool:
     return hmac.new(b"Seed version", " ".join(words).encode(), hashlib.sha512).hexdigest().startswith(TAGS)
 
 
+def runs(text: str, index: Mapping[str, int]) -> Iterator[list[re.Match]]:
+    """Stretches of words of the list, each close to the next, that are long enough for a phrase."""
+    run: list[re.Match] = []
+    for m in _WORD.finditer(text):
+        known = m[0].lower() in index
+        if run and not (known and _GAP.fullmatch(text, run[-1].end(), m.start())):
+            if len(run) >= LENGTHS[-1]:
+                yield run
+            run = []
+        if known:
+            run.append(m)
+    if len(run) >= LENGTHS[-1]:
+        yield run
+
+
+def valid_windows(words: list[str], index: Mapping[str, int]) -> Iterator[tuple[int, int]]:
+    """(first word, number of words) of every window that is a phrase; at each place the longest one.
+
+    A run is one bit string, seen through a window of the longest phrase's bits that moves on by a word: a shorter phrase is a shift of it.
+    """
+    longest = LENGTHS[0]
+    numbers = [index[w] for w in words] + [0] * longest
+    seen = 0
+    for number in numbers[: longest - 1]:
+        seen = seen << 11 | number
+    for first in range(len(words)):
+        seen = (seen << 11 | numbers[first + longest - 1]) & ((1 << 11 * longest) - 1)
+        for n in LENGTHS:
+            if first + n <= len(words) and (checksum_holds(seen >> 11 * (longest - n), n) or tag_holds(words[first : first + n])):
+                yield first, n
+                break
+
+
 def phrases(text: str, index: Mapping[str, int]) -> list[tuple[int, int, int]]:
     """(start, end, words) of each phrase: the earliest first, at its place the longest, none inside another."""
     if sum(map(text.count, " \n,;")) < SEPARATORS:
         return []
     out: list[tuple[int, int, int]] = []
-    run: list[tuple[int, int, str]] = []
-
-    def close() -> None:
-        at = 0
-        while at + LENGTHS[-1] <= len(run):
-            for n in LENGTHS:
-                part = run[at : at + n]
-                if len(part) == n and (checksum_holds([index[w] for *_, w in part]) or tag_holds([w for *_, w in part])):
-                    out.append((part[0][0], part[-1][1], n))
-                    at += n - 1
-                    break
-            at += 1
-        run.clear()
-
-    for m in _WORD.finditer(text):
-        word = m[0].lower()
-        if run and not (word in index and _GAP.fullmatch(text, run[-1][1], m.start())):
-            close()
-        if word in index:
-            run.append((m.start(), m.end(), word))
-    close()
+    for run in runs(text, index):
+        free = 0
+        for first, n in valid_windows([m[0].lower() for m in run], index):
+            if first >= free:
+                out.append((run[first].start(), run[first + n - 1].end(), n))
+                free = first + n
     return out

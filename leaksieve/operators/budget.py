@@ -18,7 +18,7 @@ from leaksieve.operators.staging import staged
 FILE_BUDGET = 50_000_000
 ORDER = ("line", "seq")
 #: Bits of the lower digits of an order column, and the rows of a cell that are simply sorted.
-DIGIT, SORTED = 10, 50_000
+DIGIT, SORTED = 10, 10_000
 _FILE = ["source", "file"]
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from leaksieve.functions.detectors import Detector
 from leaksieve.functions.json_splice import Refused, spliced
 from leaksieve.functions.rules import Rule
 from leaksieve.functions.slices import by_slices
@@ -44,7 +45,7 @@ def _free(name: str, columns: Sequence[str]) -> str:
     return name
 
 
-def redact_column(df: DataFrame, column: str, rules: Sequence[Rule], template: str = TEMPLATE, only: Sequence[str] = (), name: str = "redacted", words: Sequence[str] = (), count: str = "n_redacted") -> DataFrame:
+def redact_column(df: DataFrame, column: str, rules: Sequence[Rule], template: str = TEMPLATE, only: Sequence[str] = (), name: str = "redacted", words: Sequence[str] = (), count: str = "n_redacted", detectors: Sequence[Detector] = ()) -> DataFrame:
     """df with a column of redacted texts (name) and of the number of redactions (count); null stays null. only: names of the rules that are applied.
 
     Columns of df are never overwritten: a name that is taken is an error.
@@ -54,7 +55,7 @@ def redact_column(df: DataFrame, column: str, rules: Sequence[Rule], template: s
     hits = _free("_hits", df.columns)
     names = F.create_map(*(x for r in rules for x in (F.lit(r.order), F.lit(r.rule))))
     chosen = [r.order for r in rules if not only or r.rule in only]
-    found = with_hits(df, column, rules, hits, words)
+    found = with_hits(df, column, rules, hits, words, detectors=detectors)
     if only:
         found = found.withColumn(hits, F.filter(hits, lambda h: h["idx"].isin(*chosen)))
     return found.withColumns({name: F.when(F.col(column).isNotNull(), replaced(F.col(column), F.col(hits), names, template)), count: F.size(hits).cast("long")}).drop(hits)

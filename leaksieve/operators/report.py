@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leaksieve.functions.rules import Rule
 from leaksieve.functions.text import fingerprint
 from leaksieve.operators.scan import with_rotation
+from leaksieve.operators.staging import staged
 
 #: The fields of a published finding; the plaintext is not among them.
+PREVIEW = 40  # fixed value: rows of a preview
 RECORD = ("file", "relpath", "line", "keypath", "rule", "display", "masked", "fingerprint")
 
 
@@ -19,10 +22,10 @@ def with_fingerprint(findings: DataFrame) -> DataFrame:
     return findings.withColumn("fingerprint", fingerprint(F.col("relpath"), F.col("line"), F.col("rule")))
 
 
-def records(findings: DataFrame) -> DataFrame:
-    """What may be written: no plaintext."""
+def records(findings: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """What may be written: no plaintext. also: further columns of the findings."""
     have = with_fingerprint(findings)
-    return have.select(*(c for c in ("source", *RECORD) if c in have.columns))
+    return have.select(*(c for c in ("source", *RECORD) if c in have.columns), *also)
 
 
 def stats(findings: DataFrame) -> DataFrame:
@@ -40,23 +43,90 @@ def stats_document(findings: DataFrame) -> DataFrame:
     return doc.select(F.to_json(F.struct("total_findings", "by_rule", "by_source")).alias("value"))
 
 
-def blast_radius(findings: DataFrame, rules: Sequence[Rule], places: int | None = None) -> DataFrame:
-    """source, masked, rule, display, occurrences, files, rotation and the places (file, line) of each exposed value.
+def blast_radius(findings: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """source, masked, rule, display, occurrences, files and rotation of each exposed value. Its places are rows of exposed_places.
 
-    Groups are by masked text within a source; rule and display are those of the first place. places bounds the listed
-    places (None: all of them; a value can be exposed anywhere, so a bound is advised for very large scans).
+    Groups are by masked text within a source; rule and display are those of the first place. Occurrences of one file meet first, so a value
+    that is everywhere is counted in parts.
     """
-    at = F.struct("file", "line", "start")
-    grouped = findings.groupBy("source", "masked").agg(
-        F.count(F.lit(1)).alias("occurrences"),
-        F.count_distinct("file").alias("files"),
-        F.min_by("rule", F.struct("file", "line", "start", "rule_idx")).alias("rule"),
-        F.min_by("display", F.struct("file", "line", "start", "rule_idx")).alias("display"),
-    )
-    with_guidance = with_rotation(grouped, rules)
-    ranked = findings if places is None else findings.withColumn("_n", F.row_number().over(Window.partitionBy("source", "masked").orderBy(at))).where(F.col("_n") <= places)
-    listed = ranked.groupBy("source", "masked").agg(F.array_sort(F.collect_list(F.struct("file", "line"))).alias("places"))
-    return with_guidance.join(listed, ["source", "masked"])
+    place = F.struct("file", "line", "start", "rule_idx")
+    by_file = findings.groupBy("source", "masked", "file").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(place.alias("at"), "rule", "display")).alias("first"))
+    grouped = by_file.groupBy("source", "masked").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("files"), F.min("first").alias("first"))
+    return with_rotation(grouped.select("source", "masked", "first.rule", "first.display", "occurrences", "files"), rules)
+
+
+def exposed_places(findings: DataFrame) -> DataFrame:
+    """source, masked, file, line, times: where each exposed value was found, a row a line."""
+    return findings.groupBy("source", "masked", "file", "line").agg(F.count(F.lit(1)).alias("times"))
+
+
+def _ordered_keys(findings: DataFrame, sources: Sequence[str]) -> list[Column]:
+    """Sort keys of findings: the sources' order (others last, by name), then file, place and rule."""
+    known = F.array_position(F.array(*map(F.lit, sources)), F.col("source")) if sources else F.lit(0)
+    return [F.when(known == 0, len(sources) + 1).otherwise(known), F.col("source"), F.col("file"), F.col("line"), *([F.col("seq")] if "seq" in findings.columns else []), F.col("start"), F.col("rule_idx")]
+
+
+def ordered(findings: DataFrame, sources: Sequence[str] = ()) -> DataFrame:
+    """findings in source order, then by file, line and start, with position (from 1) over all of them; written once, in order.
+
+    One exchange by ranges of the whole key, so a hot source or file spans many tasks. A task numbers its rows; the tasks' sizes, one
+    small row each, are summed up to their offsets.
+    """
+    keys = [k.alias(f"_o{i}") for i, k in enumerate(_ordered_keys(findings, sources))]
+    names = [f"_o{i}" for i in range(len(keys))]
+    return _positions(findings.select("*", *keys), names).select(*findings.columns, "position")
+
+
+def write_ordered(findings: DataFrame, path: str, sources: Sequence[str] = ()) -> None:
+    """The records as JSON lines in files whose names sort as the records do."""
+    numbered = with_fingerprint(ordered(findings, sources))
+    cut = numbered.select("position", *(c for c in ("source", *RECORD) if c in numbered.columns))
+    cut.repartitionByRange("position").sortWithinPartitions("position").write.mode("overwrite").json(path)
+
+
+def preview(findings: DataFrame, sources: Sequence[str] = (), rows: int = PREVIEW) -> DataFrame:
+    """The first rows of the ordered records with more: how many findings lie beyond them. A partial top-k in each task, no sort of all."""
+    keys = _ordered_keys(findings, sources)
+    top = with_fingerprint(findings).orderBy(*keys).limit(rows)
+    numbered = top.withColumn("position", F.row_number().over(Window.orderBy(*keys)))  # at most `rows` rows
+    total = findings.agg(F.count(F.lit(1)).alias("_n"))
+    return numbered.crossJoin(total).select("position", *(c for c in ("source", *RECORD) if c in numbered.columns), F.greatest(F.col("_n") - rows, F.lit(0)).alias("more"))
+
+
+def json_document(findings: DataFrame, rules: Sequence[Rule], sources: Sequence[str] = ()) -> DataFrame:
+    """section, position, value: the lines of one JSON document with findings, blast_radius, places and stats, in order.
+
+    The document is a table of lines (write_document), since it has no bound; no line holds more than one record.
+    """
+    numbered = ordered(findings, sources)
+    shown = with_fingerprint(numbered)
+    rows = shown.select(F.lit(1).alias("section"), "position", F.to_json(F.struct(*(c for c in ("source", *RECORD) if c in shown.columns))).alias("record"))
+
+    def section(df: DataFrame, number: int, *order: str) -> DataFrame:
+        named = df.select(F.to_json(F.struct(*df.columns)).alias("record"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(order)), F.lit(number).alias("section"))
+        return _positions(named, [f"_k{i}" for i in range(len(order))]).select("section", "position", "record")
+
+    groups = section(blast_radius(findings, rules), 2, "source", "masked")
+    places = section(exposed_places(findings), 3, "source", "masked", "file", "line")
+    lines = reduce(DataFrame.unionByName, (rows, groups, places)).select("section", "position", F.concat(F.when(F.col("position") > 1, ",").otherwise(""), "record").alias("value"))
+    fixed = [(1, 0, '{"findings":['), (2, 0, '],"blast_radius":['), (3, 0, '],"places":['), (4, 0, '],"stats":')]
+    frame = findings.sparkSession.createDataFrame([*fixed, (5, 0, "}")], "section int, position long, value string")
+    stats_line = stats_document(findings).select(F.lit(4).alias("section"), F.lit(1).cast("long").alias("position"), "value")
+    return frame.unionByName(lines).unionByName(stats_line)
+
+
+def _positions(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """df with position (from 1) in the order of the named columns."""
+    row = F.monotonically_increasing_id()
+    placed = staged(df.repartitionByRange(*names).sortWithinPartitions(*names).select("*", F.shiftright(row, 33).alias("_part"), row.bitwiseAND((1 << 33) - 1).alias("_row")))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).select("_part", before.alias("_before"))
+    return placed.join(starts, "_part").select(*df.columns, (F.col("_before") + F.col("_row") + 1).alias("position"))
+
+
+def write_document(document: DataFrame, path: str) -> None:
+    """The document's lines as text files; put together in the order of their names they are the document."""
+    document.repartitionByRange("section", "position").sortWithinPartitions("section", "position").select("value").write.mode("overwrite").text(path)
 
 
 def rotation_items(findings: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -121,9 +191,9 @@ def sarif(findings: DataFrame, rules: Sequence[Rule], tool: str = "leaksieve", r
         F.array(location).alias("locations"),
         F.struct(F.col("fingerprint").alias("leaksieve/v1")).alias("partialFingerprints"),
     )
-    placed = rows.join(F.broadcast(numbered.select("source", "rule", "ruleIndex")), ["source", "rule"])
+    placed = rows.join(numbered.select("source", "rule", "ruleIndex"), ["source", "rule"])
     parts = rows.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / results).alias("parts"))
-    dealt = placed.join(F.broadcast(parts), "source").withColumn("part", F.pmod(F.xxhash64("file", "line", "start"), "parts").cast("int"))
+    dealt = placed.join(parts, "source").withColumn("part", F.pmod(F.xxhash64("file", "line", "start"), "parts").cast("int"))
     results = dealt.groupBy("source", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("file", "line", "start", result.alias("r")))), lambda x: x["r"]).alias("results"))
     run = F.struct(F.struct(F.struct(F.lit(tool).alias("name"), F.col("rules")).alias("driver")).alias("tool"), "results")
     doc = F.struct(F.lit(SARIF_SCHEMA).alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))

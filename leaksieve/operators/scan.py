@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leaksieve.functions.rules import DEFAULT_ROTATION, SEED_PHRASE, Rule, rules_table
-from leaksieve.functions.seed_words import phrases
+from leaksieve.functions.detectors import SEED_PHRASE, Detector, detectors_of
+from leaksieve.functions.rules import DEFAULT_ROTATION, Rule, rules_table
 from leaksieve.functions.slices import by_slices
 from leaksieve.functions.text import masked
 
@@ -40,8 +40,8 @@ def anchor_finder(anchors: Sequence[str]) -> Callable[[str], set[str]]:
 
 
 @functools.lru_cache(maxsize=8)
-def span_finder(rules: tuple[Rule, ...], words: tuple[str, ...] = ()) -> Spans:
-    """All matches of the rules in a text; with a word list (2048 words), seed phrases as well."""
+def pattern_finder(rules: tuple[Rule, ...]) -> Spans:
+    """All matches of the rules' patterns in a text."""
     patterns = {r.order: re.compile(r.pattern) for r in rules if r.pattern}
     gates = {r.order: re.compile(r.gate) for r in rules if r.gate}
     always = [r.order for r in rules if r.pattern and not r.anchors]
@@ -50,24 +50,35 @@ def span_finder(rules: tuple[Rule, ...], words: tuple[str, ...] = ()) -> Spans:
         for a in r.anchors if r.pattern else ():
             by_anchor.setdefault(a, []).append(r.order)
     find = anchor_finder(list(by_anchor)) if by_anchor else lambda text: set()
-    index = {w: i for i, w in enumerate(words)}
-    phrase_rule = next((r.order for r in rules if r.rule == SEED_PHRASE), None)
 
     def spans(text: str) -> list[tuple[int, int, int]]:
         tried = sorted({k for a in find(text.lower()) for k in by_anchor[a]}.union(always))
-        out = [(m.start(), k, m.end()) for k in tried if k not in gates or gates[k].search(text) for m in patterns[k].finditer(text)]
-        if index and phrase_rule is not None:
-            out += [(start, phrase_rule, end) for start, end, _ in phrases(text, index)]
-        return out
+        return [(m.start(), k, m.end()) for k in tried if k not in gates or gates[k].search(text) for m in patterns[k].finditer(text)]
 
     return spans
 
 
-def _finder(rules: Sequence[Rule], words: Sequence[str]):
-    rules, words = tuple(rules), tuple(words)
+def span_finder(rules: tuple[Rule, ...], detectors: tuple[Detector, ...] = ()) -> Spans:
+    """All hits of the rules and detectors in a text."""
+    matches = pattern_finder(rules)
+    order = {r.rule: r.order for r in rules}
+    more = [(order[d.rule], d.build()) for d in detectors if d.rule in order]  # a rule that isn't among the rules is not asked for
+    if not more:
+        return matches
+    return lambda text: matches(text) + [(start, k, end) for k, find in more for start, end in find(text)]
+
+
+def _finder(rules: Sequence[Rule], detectors: Sequence[Detector]):
+    rules, detectors = tuple(rules), tuple(detectors)
+    built: list[Spans] = []  # filled once in each worker
+
+    def finder() -> Spans:
+        if not built:
+            built.append(span_finder(rules, detectors))
+        return built[0]
 
     def some(values: pa.Array) -> pa.Array:
-        spans = span_finder(rules, words)
+        spans = finder()
         offsets, starts, which, ends, found = [0], [], [], [], []
         for text in values.to_pylist():
             for start, k, end in spans(text) if text else ():
@@ -99,17 +110,17 @@ def without_overlaps(hits: Column) -> Column:
     return F.when(F.size(hits) < 2, hits).otherwise(F.aggregate(F.array_sort(hits), empty, step))
 
 
-def with_hits(df: DataFrame, column: str, rules: Sequence[Rule], name: str = "hits", words: Sequence[str] = (), cap: int | None = None) -> DataFrame:
+def with_hits(df: DataFrame, column: str, rules: Sequence[Rule], name: str = "hits", words: Sequence[str] = (), cap: int | None = None, detectors: Sequence[Detector] = ()) -> DataFrame:
     """df with an array of (start, idx, end, value), overlaps resolved, for a string column; empty for null.
 
-    words: the word list of the seed-phrase detector; without one it doesn't run. cap: a string is scanned up to this many code
-    points (None: all of it).
+    words: the word list of the seed-phrase detector; without one it doesn't run. detectors: further ones. cap: a string is scanned up
+    to this many code points (None: all of it).
     """
     value = F.col(column) if cap is None else F.substring(column, 1, cap)
-    return df.withColumn(name, _finder(rules, words)(value)).withColumn(name, without_overlaps(F.col(name)))
+    return df.withColumn(name, _finder(rules, detectors_of(words, detectors))(value)).withColumn(name, without_overlaps(F.col(name)))
 
 
-def scan(strings: DataFrame, rules: Sequence[Rule], value: str = "value", words: Sequence[str] = ()) -> DataFrame:
+def scan(strings: DataFrame, rules: Sequence[Rule], value: str = "value", words: Sequence[str] = (), detectors: Sequence[Detector] = ()) -> DataFrame:
     """Findings: the other columns of strings with rule_idx, rule, display, match, masked, start and end (code points).
 
     match is the plaintext; sinks drop it. A seed phrase is masked to its first and last word. Columns of strings may have any
@@ -118,7 +129,7 @@ def scan(strings: DataFrame, rules: Sequence[Rule], value: str = "value", words:
     keys = [c for c in strings.columns if c != value]
     held = strings.select(F.struct(*keys).alias("keys"), F.col(value).alias("text"))
     # an outer generator: the optimiser would copy the whole scan into a filter in front of an inner one
-    hits = with_hits(held, "text", rules, "hits", words).select("keys", F.explode_outer("hits").alias("hit")).where(F.col("hit").isNotNull())
+    hits = with_hits(held, "text", rules, "hits", words, detectors=detectors).select("keys", F.explode_outer("hits").alias("hit")).where(F.col("hit").isNotNull())
     named = F.broadcast(rules_table(strings.sparkSession, rules).select("rule_idx", "rule", "display"))
     match = F.col("hit.value")
     ends = F.concat(F.lower(F.regexp_extract(match, r"\A[A-Za-z]+", 0)), F.lit(" …["), F.regexp_count(match, F.lit("[A-Za-z]+")).cast("string"), F.lit(" words]… "), F.lower(F.regexp_extract(match, r"[A-Za-z]+\z", 0)))

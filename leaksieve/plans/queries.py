@@ -18,9 +18,9 @@ from leaksieve.functions.rules import SEED_PHRASE, Rule, builtin_rules, with_pac
 from leaksieve.operators import budget, commit, redact, report, seed_phrase, suppress
 from leaksieve.operators.scan import prefilter_pairs, scan
 from leaksieve.operators.staging import new_folder, staged
-from leaksieve.plans.history import rewritten
+from leaksieve.plans.history import rewritten, scan_history
 from leaksieve.sources.walk import json_strings, table_strings, walker
-from leaksieve.streaming.scan_stream import windowed_counts
+from leaksieve.streaming.scan_stream import first_seen_only, windowed_counts, without_ignored
 
 CUSTOM = Rule(0, "generic-token", "Generic token", r'\btoken = "[0-9a-f]{40}"', ('token = "',), None, "Revoke it where it was issued.")
 
@@ -157,10 +157,66 @@ def stats_grouping_sets(spark, sf_dir):
     return report.stats(found(spark, sf_dir))
 
 
-@_query(f"WITH {_M} SELECT source, masked, min(rule) AS rule, count(*) AS occurrences, count(DISTINCT file) AS files, string_agg(file, ',' ORDER BY file) AS places FROM m GROUP BY source, masked")
+@_query(f"WITH {_M} SELECT source, masked, min(rule) AS rule, count(*) AS occurrences, count(DISTINCT file) AS files FROM m GROUP BY source, masked")
 def blast_radius(spark, sf_dir):
-    groups = report.blast_radius(kept_findings(spark, sf_dir), rules())
-    return groups.select("source", "masked", "rule", "occurrences", "files", F.array_join(F.transform("places", lambda p: p["file"]), ",").alias("places"))
+    return report.blast_radius(kept_findings(spark, sf_dir), rules()).select("source", "masked", "rule", "occurrences", "files")
+
+
+@_query(f"WITH {_M} SELECT source, masked, file, 1::BIGINT AS line, count(*) AS times FROM m GROUP BY ALL")
+def exposed_places(spark, sf_dir):
+    return report.exposed_places(kept_findings(spark, sf_dir))
+
+
+#: A source order as a catalog gives it: these first, others by name.
+FIRST_SOURCES = ("src7", "src3", "src11")
+_ORDERED = f"""{_M}, o AS (SELECT *, coalesce(list_position(['src7', 'src3', 'src11'], source), 4) AS known, instr(value, match) - 1 AS start FROM m),
+n AS (SELECT *, row_number() OVER (ORDER BY known, source, file, start) AS position FROM o)"""
+
+
+@_query(f"WITH {_ORDERED} SELECT position, source, file, rule, masked, fingerprint FROM n")
+def ordered_findings(spark, sf_dir):
+    return report.with_fingerprint(report.ordered(kept_findings(spark, sf_dir), FIRST_SOURCES)).select("position", "source", "file", "rule", "masked", "fingerprint")
+
+
+@_query(f"WITH {_ORDERED} SELECT position, source, file, rule, masked, greatest((SELECT count(*) FROM n) - 40, 0) AS more FROM n WHERE position <= 40")
+def findings_preview(spark, sf_dir):
+    return report.preview(kept_findings(spark, sf_dir), FIRST_SOURCES).select("position", "source", "file", "rule", "masked", "more")
+
+
+@_query(f"WITH {_M} SELECT (SELECT count(*) FROM p) AS strings, (SELECT sum(length(value))::BIGINT FROM p) AS characters, (SELECT count(*) FROM p WHERE value = '') AS empty, (SELECT count(*) FROM m) AS findings")
+def scan_counters(spark, sf_dir):
+    """What the scan has seen, observed while it ran."""
+    result = scan_history(strings(spark, sf_dir), rules(), file_budget=None)
+    n = staged(result.findings.select("rule")).count()
+    seen = result.counters.get
+    return spark.createDataFrame([(seen["strings"], seen["characters"], seen["empty"], n)], "strings long, characters long, empty long, findings long")
+
+
+@_query(f"""WITH {_M}, g AS (SELECT DISTINCT CASE WHEN event_id % 3 = 0 THEN 'src' || (event_id % 29) || '/' || event_id || '*' WHEN event_id % 3 = 1 THEN '*/' || event_id || '.txt' ELSE 'src1?/' || (event_id % 97) || '[13579].t*' END AS glob FROM events)
+SELECT doc_id, rule FROM m WHERE file NOT IN (SELECT f.file FROM (SELECT DISTINCT file FROM m) f JOIN g ON f.file GLOB g.glob)""")
+def ignore_many_globs(spark, sf_dir):
+    """As many path globs as there are events, some by their beginning, some by their end."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("i"))
+    i = F.col("i").cast("string")
+    glob = F.when(F.col("i") % 3 == 0, F.concat(F.lit("src"), (F.col("i") % 29).cast("string"), F.lit("/"), i, F.lit("*"))).when(F.col("i") % 3 == 1, F.concat(F.lit("*/"), i, F.lit(".txt")))
+    entries = e.select(F.lit("path").alias("kind"), glob.otherwise(F.concat(F.lit("src1?/"), (F.col("i") % 97).cast("string"), F.lit("[13579].t*"))).alias("entry")).distinct()
+    return suppress.suppress(staged(found(spark, sf_dir)), entries).select("doc_id", "rule")
+
+
+@_query(f"WITH {_M} SELECT doc_id, rule, masked FROM m WHERE rule <> 'github-pat' AND NOT regexp_matches(file, '^src1[0-9]/.*7.txt$')")
+def scan_stream_documents(spark, sf_dir):
+    """The documents as a stream, each sent twice: findings once each, without ignored ones."""
+    once = strings(spark, sf_dir)
+    sent = new_folder(spark)
+    for _ in range(2):
+        once.write.mode("append").parquet(sent)
+    stream = spark.readStream.schema(once.schema).option("maxFilesPerTrigger", 16).parquet(sent)
+    ignores = suppress.ignores_of(spark, ["rule:github-pat", "path:src1?/*7.txt"])
+    seen = first_seen_only(without_ignored(scan(stream, rules()), ignores)).select("doc_id", "rule", "masked")
+    out = new_folder(spark)
+    query = seen.writeStream.format("parquet").option("checkpointLocation", new_folder(spark)).outputMode("append").trigger(availableNow=True).start(out)
+    query.awaitTermination()
+    return spark.read.schema(seen.schema).parquet(out)
 
 
 @_query(f"WITH {_M} SELECT file, source, count(*) AS findings FROM m GROUP BY file, source")

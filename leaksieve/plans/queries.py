@@ -135,10 +135,9 @@ def overlap_dedupe(spark, sf_dir):
     return scan(strings(spark, sf_dir), some).where(F.col("rule").isin("keyed", "github-pat") | F.col("match").startswith("AKIA")).select("doc_id", "rule", "match")
 
 
-@_query("""SELECT doc_id, CASE WHEN length(w) <= 12 THEN substr(w, 1, 3) || repeat('*', greatest(length(w) - 3, 0)) ELSE substr(w, 1, 6) || '********' || right(w, 4) END AS masked
-FROM (SELECT doc_id, split_part(text, ' ', 1) AS w FROM documents)""")
+@_query("""SELECT doc_id, CASE WHEN length(text) <= 12 THEN substr(text, 1, 3) || repeat('*', greatest(length(text) - 3, 0)) ELSE substr(text, 1, 6) || '********' || right(text, 4) END AS masked FROM documents""")
 def mask_values(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", T.masked(F.split_part("text", F.lit(" "), F.lit(1))).alias("masked"))
+    return documents(spark, sf_dir).select("doc_id", T.masked(F.col("text")).alias("masked"))
 
 
 @_query(f"WITH {_M} SELECT rule, count(*) AS findings, count(DISTINCT doc_id) AS docs FROM m GROUP BY rule")
@@ -294,19 +293,23 @@ def line_budget(spark, sf_dir):
 
 
 @_query("""SELECT doc_id, k::BIGINT AS line, length(line) AS chars, md5(line) AS digest FROM (
-  SELECT doc_id, unnest(string_split(rtrim(text, chr(10)), chr(10))) AS line, generate_subscripts(string_split(rtrim(text, chr(10)), chr(10)), 1) AS k FROM documents WHERE text <> '')""")
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k, len(string_split(text, chr(10))) AS n FROM documents) WHERE NOT (k = n AND line = '')""")
 def line_explode(spark, sf_dir):
-    """Physical lines with their numbers (documents without carriage returns and without trailing blank lines)."""
-    d = documents(spark, sf_dir).where(F.col("text") != "").select("doc_id", F.posexplode(T.physical_lines(F.rtrim("text", F.lit("\n")))).alias("k", "raw"))
+    """Physical lines with their numbers, blank ones and those at the end included (documents without carriage returns)."""
+    d = documents(spark, sf_dir).select("doc_id", F.posexplode(T.physical_lines(F.col("text"))).alias("k", "raw"))
     body = T.without_end(F.col("raw"))
     return d.select("doc_id", (F.col("k") + 1).cast("long").alias("line"), F.length(body).cast("long").alias("chars"), F.md5(body.cast("binary")).alias("digest"))
 
 
-@_query("""SELECT event_id, trim(key, '"') AS key, json_extract_string(props, '$."' || trim(key, '"') || '"') AS value
-FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events) WHERE json_type(props, '$."' || trim(key, '"') || '"') = 'VARCHAR'""")
+@_query("""SELECT event_id, 'event' AS key, event_type AS value FROM events WHERE props <> '' UNION ALL SELECT event_id, 'tags.0', md5(event_id::VARCHAR) FROM events WHERE props <> ''
+UNION ALL SELECT event_id, 'tags.2.more', 'é "' || event_id || '"' FROM events WHERE props <> ''
+UNION ALL SELECT event_id, 'props.' || trim(key, '"'), json_extract_string(props, '$."' || trim(key, '"') || '"') FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events WHERE props <> '') WHERE json_type(props, '$."' || trim(key, '"') || '"') = 'VARCHAR'""")
 def json_walk_props(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props")
-    return json_strings(e, "props").select("event_id", F.col("keypath")[0].alias("key"), "value")
+    """Events as JSON texts, their properties inside: every string with its key path."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("props") != "")
+    i = F.col("event_id").cast("string")
+    doc = F.concat(F.lit('{"event":"'), "event_type", F.lit('","tags":["'), F.md5(i.cast("binary")), F.lit('",1,{"more":"\\u00e9 \\"'), i, F.lit('\\""}],"props":'), "props", F.lit("}"))
+    return json_strings(e.select("event_id", doc.alias("doc")), "doc").select("event_id", F.array_join("keypath", ".").alias("key"), "value")
 
 
 @_query("""SELECT conv_id, turn, 'role' AS keypath, md5(role) AS digest FROM conversations UNION ALL SELECT conv_id, turn, 'message.content.0.text', md5(text) FROM conversations""")
@@ -437,10 +440,12 @@ def labels_exposure(spark, sf_dir):
     return found(spark, sf_dir).join(labels, "doc_id", "left").groupBy(shown("quality"), shown("toxic")).agg(F.count(F.lit(1)).alias("findings"))
 
 
-@_query("""SELECT 'customer' AS source, c_custkey::VARCHAR AS file, k AS keypath, v AS value FROM (UNPIVOT (SELECT c_custkey, c_name::VARCHAR AS c_name, c_mktsegment::VARCHAR AS c_mktsegment FROM customer) ON c_name, c_mktsegment INTO NAME k VALUE v) WHERE trim(v) <> ''""")
+@_query("""SELECT 'customer' AS source, c_custkey::VARCHAR AS file, k AS keypath, v AS value FROM (UNPIVOT (SELECT c_custkey, c_name::VARCHAR AS c_name, c_mktsegment::VARCHAR AS c_mktsegment FROM customer) ON c_name, c_mktsegment INTO NAME k VALUE v) WHERE trim(v) <> ''
+UNION ALL SELECT 'pages', page_id::VARCHAR, k, v FROM (UNPIVOT (SELECT page_id, url, html FROM pages) ON url, html INTO NAME k VALUE v) WHERE trim(v) <> ''""")
 def table_cells(spark, sf_dir):
-    cells = table_strings(spark.read.parquet(f"{sf_dir}/customer.parquet"), ["c_custkey"], "customer", ["c_name", "c_mktsegment"])
-    return cells.select("source", "file", F.array_join("keypath", ".").alias("keypath"), "value")
+    """Every string cell of two tables."""
+    cells = lambda name, key: table_strings(spark.read.parquet(f"{sf_dir}/{name}.parquet"), [key], name).select("source", "file", F.array_join("keypath", ".").alias("keypath"), "value")
+    return cells("customer", "c_custkey").unionByName(cells("pages", "page_id"))
 
 
 @_query(f"WITH {_M} SELECT fingerprint || '  ' || display || '  ' || masked AS value FROM m")
@@ -453,14 +458,25 @@ def finding_records(spark, sf_dir):
     return report.records(found(spark, sf_dir))
 
 
-@_query(f"""WITH {_M}, b AS (SELECT benchmark.text AS entry FROM benchmark) SELECT doc_id, rule FROM m WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.entry = m.match)""")
+@_query(f"""WITH {_M}, b AS (SELECT text AS entry FROM benchmark UNION ALL SELECT 'AKIA' || substr(upper(md5((item_id * 7)::VARCHAR)), 1, 16) FROM benchmark UNION ALL SELECT 'ghp_' || md5((item_id * 22)::VARCHAR) || substr(md5((item_id * 22)::VARCHAR), 1, 4) FROM benchmark)
+SELECT doc_id, rule FROM m WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.entry = m.match)""")
 def ignore_benchmark_values(spark, sf_dir):
-    entries = suppress.parse_ignores(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("text").alias("value")))
+    """Ignore files made of the benchmark's texts and of the credentials planted under some of its ids."""
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    h = lambda n: F.md5((F.col("item_id") * n).cast("string").cast("binary"))
+    keys = [F.concat(F.lit("AKIA"), F.substring(F.upper(h(7)), 1, 16)), F.concat(F.lit("ghp_"), h(22), F.substring(h(22), 1, 4))]
+    entries = suppress.parse_ignores(b.select(F.explode(F.array(F.col("text"), *keys)).alias("value")))
     return suppress.suppress(found(spark, sf_dir), entries).select("doc_id", "rule")
 
 
-@_query(None)
+@_query(f"""WITH {_M}, f AS (SELECT *, instr(value, match) - 1 AS start FROM m JOIN {_GUIDE} USING (rule)),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY place) - 1 AS k FROM (SELECT source, rule, display, rotation, min({{'file': file, 'start': start}}) AS place FROM f GROUP BY source, rule, display, rotation)),
+d AS (SELECT source, string_agg('{{"id":"' || rule || '","shortDescription":{{"text":"' || display || '"}},"help":{{"text":' || to_json(rotation) || '}}}}', ',' ORDER BY k) AS rules FROM r GROUP BY source),
+x AS (SELECT f.source, string_agg('{{"ruleId":"' || rule || '","ruleIndex":' || k || ',"level":"error","message":{{"text":' || to_json(f.display || ': ' || masked) || '}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || f.file
+  || '"}},"region":{{"startLine":1}}}}}}],"partialFingerprints":{{"leaksieve/v1":"' || fingerprint || '"}}}}', ',' ORDER BY f.file, f.start) AS results FROM f JOIN r USING (source, rule) GROUP BY f.source)
+SELECT source, 0 AS part, '{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"leaksieve","rules":[' || rules || ']}}}},"results":[' || results || ']}}]}}' AS value FROM d JOIN x USING (source)""")
 def sarif_documents(spark, sf_dir):
+    """SARIF of each source. (The SQL covers sources of up to 5,000 findings, which are one part.)"""
     return report.sarif(kept_findings(spark, sf_dir), rules())
 
 

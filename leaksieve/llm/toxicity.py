@@ -2,9 +2,11 @@
 
 Severity grades are ordered (0 clean, 1 mild, 2 severe); one weight vector is shared by all thresholds:
 P(grade >= k) = sigmoid(w.x - theta_k), theta ascending. The labels say only toxic or not, so training grades a toxic text as
-severe when it has more words that are over-represented in toxic texts than the median toxic text.
+severe when it has more words that are over-represented in toxic texts, beyond those that a clean text of its length has by chance, than the
+median toxic text: a long text isn't graded higher for its length.
 
-The model is fitted on at most ``sample`` labelled rows, the lowest by a hash of doc_id (a documented bound), of which
+The model is fitted on at most ``sample`` labelled documents, the lowest by a hash of doc_id (a documented bound), one row each however often
+an id is repeated (of different texts under one id, the one with the least hash), of which
 near copies are left out (rows that share a minimum hash over five-word shingles with an earlier one, so that a group of
 copies doesn't teach its rare words); scoring covers every whole text. Features are the presence of words and of word beginnings of four and
 five characters (inflected forms share them); one is used if it occurs in at least ``least`` texts of the sample and its log-odds against the toxic label exceed ``z``
@@ -56,11 +58,12 @@ def _texts_to_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def labelled_sample(df: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """doc_id, toxic, words and sketch of the labelled rows with the lowest hashes of doc_id."""
+    """doc_id, toxic, words and sketch of the labelled documents with the lowest hashes of doc_id: one row a document, at most ``sample`` rows."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     chosen = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = df.select(F.col("doc_id").cast("long"), text_of(df).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return texts.select("doc_id", "text", "toxic").mapInArrow(_texts_to_words, "doc_id long, toxic int, words array<string>, sketch array<long>")
+    one = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("mark"), "text", "toxic")).alias("r"))
+    return one.select("doc_id", "r.text", "r.toxic").mapInArrow(_texts_to_words, "doc_id long, toxic int, words array<string>, sketch array<long>")
 
 
 def fit_cumulative_link(rows: list[list[int]], grades: np.ndarray, width: int, levels: int, ridge: float = 0.02, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +112,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _selected(strong: dict[str, float]):
-    """Indices of a row's selected features, and how many of its words are over-represented in toxic texts."""
+    """Indices of a row's selected features, how many of its words are over-represented in toxic texts, and how many words it has."""
     vocabulary = {f: i for i, f in enumerate(sorted(strong))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +120,7 @@ def _selected(strong: dict[str, float]):
             rows = batch["words"].to_pylist()
             hits = [sum(max((strong.get(f, 0) for f in features([w])), default=0) > 0 for w in words) for words in rows]
             indices = [sorted(vocabulary[f] for f in features(words) if f in vocabulary) for words in rows]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(indices, pa.list_(pa.int32())), pa.array(hits, pa.int32())], names=["doc_id", "toxic", "indices", "hits"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(indices, pa.list_(pa.int32())), pa.array(hits, pa.int32()), pa.array([len(w) for w in rows], pa.int32())], names=["doc_id", "toxic", "indices", "hits", "size"])
 
     return run
 
@@ -135,9 +138,11 @@ def train(df: DataFrame, labels: DataFrame, sample: int = 12_000, least: int = 5
     b, e = toxic_n + 1 - a, n - toxic_n + 1 - c
     odds = counts.withColumn("odds", F.log(a * e / (b * c))).where(F.abs("odds") > z * F.sqrt(1 / a + 1 / b + 1 / c + 1 / e))
     strong = {r.feature: r.odds for r in odds.collect()}
-    picked = sorted(rows.mapInArrow(_selected(strong), "doc_id long, toxic int, indices array<int>, hits int").collect())
-    middle = float(np.median([r.hits for r in picked if r.toxic > 0]))
-    grades = np.array([int(r.toxic > 0) + int(r.toxic > 0 and r.hits > middle) for r in picked])
+    picked = sorted(rows.mapInArrow(_selected(strong), "doc_id long, toxic int, indices array<int>, hits int, size int").collect())
+    chance = sum(r.hits for r in picked if r.toxic <= 0) / max(1, sum(r.size for r in picked if r.toxic <= 0))
+    excess = np.array([r.hits - chance * r.size for r in picked])
+    toxic_rows = np.array([r.toxic > 0 for r in picked])
+    grades = toxic_rows.astype(int) + (toxic_rows & (excess > np.median(excess[toxic_rows])))
     weights, theta = fit_cumulative_link([r.indices for r in picked], grades, len(strong), 3)
     return {"weights": {w: float(weights[i]) for i, w in enumerate(sorted(strong))}, "theta": [float(x) for x in theta]}
 

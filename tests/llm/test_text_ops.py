@@ -1,5 +1,6 @@
 """Quality rules, token counts, toxicity and preference formatting against brute force, with odd inputs."""
 
+import math
 import random
 import re
 import unicodedata
@@ -111,6 +112,49 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept == {i for i, r in got.items() if not r.rejected}
 
 
+def test_severity_equals_a_plain_sum_over_the_words(spark):
+    """Scores from the model's own weights, word by word, and the bound on the sample where ids repeat."""
+    rng = random.Random(14)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(150)]
+    truth = [int(rng.random() < 0.3) for _ in range(500)]
+    texts = [" ".join(rng.choice(vocabulary).title() + rng.choice(["", ".", "!"]) for _ in range(rng.randrange(5, 400))) + (" vilezzes uglyqq," * rng.randrange(1, 3) if t else "") for t in truth]
+    df = frame(spark, texts + ODD)
+    labels = spark.createDataFrame(list(enumerate(truth)), "doc_id long, toxic int")
+    repeated = df.unionByName(df.where("doc_id = 7").crossJoin(spark.range(500)).drop("id")).unionByName(df.where("doc_id = 8").withColumn("text", F.lit("another text")))
+    sample = toxicity.labelled_sample(repeated, labels.unionByName(labels.where("doc_id = 7")), 100)
+    assert sample.count() == 100 and sample.select("doc_id").distinct().count() == 100
+    assert toxicity.labelled_sample(repeated, labels, 10_000).count() == 500
+    model = toxicity.train(repeated, labels)
+    trim = ".,;:!?\"'()[]{}<>*_-…“”„«»¡¿"
+    for r in toxicity.severity(repeated, model).collect():
+        text = (texts + ODD)[r.doc_id] or ""
+        if r.doc_id == 8:
+            continue
+        words = {w.strip(trim) for w in text.lower().split()} - {""}
+        marks = words | {"^" + w[:4] for w in words if len(w) > 4} | {"^" + w[:5] for w in words if len(w) > 5}
+        score = sum(model["weights"].get(m, 0.0) for m in marks)
+        above = [1 / (1 + math.exp(t - score)) for t in model["theta"]]
+        assert r.expected_severity == pytest.approx(sum(above), abs=2e-6) and r.rejected == (r.expected_severity >= 0.5)
+        assert r.grade == sum(a >= 0.5 for a in above)
+
+
+def test_grades_do_not_follow_length(spark):
+    """Toxic texts with one word each, of which half are fifty times as long: the long ones are not graded as severe for that."""
+    rng = random.Random(15)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    rows = [(int(k % 4 == 0), rng.choice([30, 1500])) for k in range(600)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(n)) + (" vilezz" + " uglyqq nastyxx" * (k % 8 == 0) if toxic else "") for k, (toxic, n) in enumerate(rows)]
+    df = frame(spark, texts)
+    model = toxicity.train(df, spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, toxic int"))
+    got = {r.doc_id: r.expected_severity for r in toxicity.severity(df, model).collect()}
+    mean = lambda some: sum(got[k] for k in some) / len(some)
+    toxic = [k for k, (t, _) in enumerate(rows) if t]
+    for many in (True, False):
+        short, long = ([k for k in toxic if (k % 8 == 0) is many and rows[k][1] == n] for n in (30, 1500))
+        assert abs(mean(short) - mean(long)) < 0.25
+    assert mean([k for k in toxic if k % 8 == 0]) > mean([k for k in toxic if k % 8]) + 0.3
+
+
 def test_cumulative_link_gradient_reaches_a_minimum():
     rng = np.random.default_rng(5)
     rows = [[j for j in range(4) if rng.random() < 0.5] for _ in range(300)]

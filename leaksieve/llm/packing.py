@@ -190,7 +190,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, block_pieces: int = BLOCK_PIEC
             "offset": F.lit(0).cast("long"),
         }
     )
-    dealt = pieces.where(F.col("length") < capacity).withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)).cast("long"))
+    # a row's place in the written table salts the block, so repeats of one row are spread as well
+    dealt = pieces.withColumn("at", F.monotonically_increasing_id()).where(F.col("length") < capacity).withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "at"), F.lit(blocks)).cast("long")).drop("at")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     now, first = dealt.groupBy("block").applyInPandas(_pack_block(capacity, PASSED_ON, False), schema), 0
     done = [full.select(*columns)]

@@ -195,6 +195,26 @@ def test_packing_covers_every_token(spark):
     assert packing.pack_documents(frame(spark, texts).where("false")).count() == 0
 
 
+def test_token_ids_equal_the_library_on_many_texts(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    rng = random.Random(77)
+    parts = ["the", "The", " quick", "  ", "\n", "\n\n", "\t", "\r\n", "'s", "'LL", "é", "ñ", "日本", "語", "😀", "👍🏽", "\u0301", "\u00a0", "\u2003", "\u2028", "٣", "½", "x1y2", "12345", "!!", "...", "<|", "|>", "endoftext", "ſ", "ﬁ", "\x00", "\x7f", "\u200b", "한국어", "ЁЖ", "_", "$%", "http://a.b/c?d=e", "\ufeff", "ǅ", "\U0001d400"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x2FFF), rng.randrange(0x3000, 0xD7FF), rng.randrange(0xE000, 0xFFFF), rng.randrange(0x10000, 0x1FFFF)])) for _ in range(20)) for _ in range(1000)]
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.token_pieces(frame(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        ids = np.array([*tok.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes())), text
+
+
+def test_repeated_rows_are_dealt_over_the_blocks(spark):
+    rows = spark.createDataFrame([(None, 0, 0, 5, 9)] * 400, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    packed = packing.pack(rows, capacity=20, block_pieces=40)
+    assert packed.count() == 400 and packed.select("sequence_id").distinct().count() == 100
+
+
 def test_pipeline_stages_keep_the_columns(spark, tmp_path):
     import corpus_pipeline
 

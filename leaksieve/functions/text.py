@@ -19,6 +19,14 @@ def fingerprint(relpath: Column, line: Column, rule: Column) -> Column:
     return F.concat_ws(":", relpath, line.cast("string"), rule)
 
 
+def file_uri(path: Column) -> Column:
+    """A path as a URI: percent-encoded, with file:// before an absolute one; what has a scheme already stays."""
+    encoded = F.url_encode(path)
+    for was, becomes in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        encoded = F.replace(encoded, F.lit(was), F.lit(becomes))
+    return F.when(path.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]+:/"), path).when(F.startswith(path, F.lit("/")), F.concat(F.lit("file://"), encoded)).otherwise(encoded)
+
+
 def relative_path(file: Column, root: str) -> Column:
     """The path below root; the whole path where it lies elsewhere."""
     top = root.rstrip("/") + "/"

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leaksieve.functions.rules import Rule
-from leaksieve.functions.text import fingerprint
+from leaksieve.functions.text import file_uri, fingerprint
 from leaksieve.operators.scan import with_rotation
 from leaksieve.operators.staging import staged
 
@@ -182,7 +182,7 @@ def sarif(findings: DataFrame, rules: Sequence[Rule], tool: str = "leaksieve", r
     text = lambda c: F.struct(c.alias("text"))
     descriptor = F.struct(F.col("rule").alias("id"), text(F.col("display")).alias("shortDescription"), text(F.col("rotation")).alias("help"))
     described = numbered.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("ruleIndex", descriptor.alias("d")))), lambda x: x["d"]).alias("rules"))
-    location = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), F.struct(F.greatest("line", F.lit(1)).alias("startLine")).alias("region")).alias("physicalLocation"))
+    location = F.struct(F.struct(F.struct(file_uri(F.col("file")).alias("uri")).alias("artifactLocation"), F.struct(F.greatest("line", F.lit(1)).alias("startLine")).alias("region")).alias("physicalLocation"))
     result = F.struct(
         F.col("rule").alias("ruleId"),
         "ruleIndex",

@@ -19,6 +19,7 @@ from leaksieve.operators import budget, commit, redact, report, seed_phrase, sup
 from leaksieve.operators.scan import prefilter_pairs, scan
 from leaksieve.operators.staging import new_folder, staged
 from leaksieve.plans.history import rewritten, scan_history
+from leaksieve.sources import files, tree
 from leaksieve.sources.walk import json_strings, table_strings, walker
 from leaksieve.streaming.scan_stream import first_seen_only, windowed_counts, without_ignored
 
@@ -395,6 +396,16 @@ def validated_commit(spark, sf_dir):
     return statuses.join(written, "file", "left").select("file", "status", "note", "lines", "changed_lines", "bytes_before", "bytes_after", F.coalesce("lines_written", F.lit(0)).alias("lines_written"))
 
 
+@_query(f"WITH {_M} SELECT rule, masked, 'value' AS keypath FROM m")
+def scan_discovered_files(spark, sf_dir):
+    """The planted documents written as JSON lines in folders, found again by discovery, read in byte ranges and scanned."""
+    folder = new_folder(spark)
+    strings(spark, sf_dir).select("source", F.col("doc_id").cast("string").alias("id"), "value").write.partitionBy("source").json(folder)
+    listed = tree.discover(spark, {"documents": tree.Wanted(((0, "source=*/*.json", ""),))}, {"documents": folder})
+    records = files.jsonl_records(listed.where(F.col("state") == "file"), split=4 << 20).where(F.col("note").isNull()).drop("note")
+    return scan(records, rules()).select("rule", "masked", F.array_join("keypath", ".").alias("keypath"))
+
+
 @_query("SELECT doc_id, sha256(text) AS digest, strlen(text) AS n_bytes FROM documents")
 def content_hashes(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))

@@ -154,3 +154,8 @@ def inventory(spark: SparkSession, roots: Roots, homes: Sequence[str] = ()) -> D
     catalog = spark.createDataFrame([(s,) for s in SOURCES], "source string").join(per, "source", "left")
     number = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return catalog.select("source", number("files"), number("bytes"), "newest", (F.coalesce("files", F.lit(0)) > 0).alias("detected"), number("left_out"))
+
+
+def detected(listed: DataFrame) -> list[str]:
+    """The sources of an inventory that have history (at most as many as the catalog has)."""
+    return sorted(r.source for r in listed.where("detected").select("source").collect())

@@ -64,6 +64,7 @@ def test_every_binding_of_the_32_sources_is_read(spark, planted):
     assert history.accounts.collect() == []
     rows = {r.source: (r.files, r.detected) for r in catalog.inventory(spark, {s: [str(planted / s), str(planted / "absent")] for s in PLANTED if s != "zed"}).collect()}
     assert rows == {s: (len(p), True) if s != "zed" else (0, False) for s, p in PLANTED.items()}
+    assert catalog.detected(catalog.inventory(spark, {"zed": str(planted / "zed"), "codex": str(planted / "absent")})) == ["zed"]
 
 
 def test_database_else_files(spark, tmp_path):

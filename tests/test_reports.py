@@ -6,9 +6,11 @@ import random
 from datetime import datetime, timedelta
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from leaksieve.functions.rules import builtin_rules
+from leaksieve.functions.text import file_uri
 from leaksieve.operators import report, suppress
 from leaksieve.operators.scan import scan
 from leaksieve.plans.history import scan_history
@@ -31,6 +33,12 @@ def in_file_order(path, suffix):
     return "".join(p.read_text() for p in sorted(Path(path).glob(f"part-*.{suffix}")))
 
 
+@pytest.mark.parametrize("path,uri", [("/a b/é%~*+#?.txt", Path("/a b/é%~*+#?.txt").as_uri()), ("rel/a b", "rel/a%20b"), ("s3://bucket/a%20b", "s3://bucket/a%20b"), ("file:///x/a%20b", "file:///x/a%20b"), ("/x/a:b", "file:///x/a%3Ab")])
+def test_file_uris(spark, path, uri):
+    got = spark.range(1).select(file_uri(F.lit(path))).first()[0]
+    assert got == uri or got == uri.replace(":b", "%3Ab")
+
+
 def test_ordered_sink_and_preview(spark, tmp_path):
     found = scan(some(spark), builtin_rules())
     found = spark.createDataFrame(found.collect(), found.schema).repartition(7)

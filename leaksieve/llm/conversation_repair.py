@@ -393,3 +393,37 @@ def repair(rows: DataFrame) -> DataFrame:
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"),
     )
+
+
+#: The same by a recursion over rows and states that carries whole audits and texts. CRC-32 goes byte by byte and bit by bit through a list.
+SQL = r"""
+WITH RECURSIVE
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(key) + 1), lambda i: [ascii(substr(key, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, v: CASE WHEN v >= 0 THEN xor(c, v) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295::BIGINT) % 20 AS hit FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE hit WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM h),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS rn FROM d),
+f AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY rn) AS before, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 THEN 'duplicate'
+  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM o),
+counts AS (SELECT conv_id, max(rn) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (before IS NOT NULL AND substr(before, 1, 1) || substr(role, 1, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+ins AS (SELECT * FROM (VALUES (0, 0, '', ''), (0, 2, 'I', chr(10) || 'user:'), (0, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 1, '', ''), (1, 2, 'I', chr(10) || 'user:'), (1, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (2, 2, '', ''), (2, 3, 'I', chr(10) || 'assistant:'), (3, 3, '', ''), (3, 2, 'I', chr(10) || 'user:')) t(p, q, letters, body)),
+act AS (SELECT * FROM (VALUES ('D', '', 0, 0, 4, ''), ('D', '', 1, 1, 4, ''), ('D', '', 2, 2, 4, ''), ('D', '', 3, 3, 4, ''), ('K', 's', 0, 1, 0, ''), ('K', 'u', 0, 2, 0, ''), ('K', 'u', 1, 2, 0, ''), ('K', 'u', 3, 2, 0, ''), ('K', 'a', 2, 3, 0, ''),
+  ('R', 'u', 0, 2, 3, 'user'), ('R', 'u', 1, 2, 3, 'user'), ('R', 'u', 3, 2, 3, 'user'), ('R', 'a', 2, 3, 3, 'assistant')) t(letter, c, p, q, price, name)),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS rn, 0 AS st, {'cost': 0::BIGINT, 'audit': '', 'body': ''} AS best FROM counts
+  UNION ALL
+  SELECT conv_id, rn, st, min(way) FROM (
+    SELECT dp.conv_id, f.rn, act.q AS st, {'cost': dp.best.cost + 3 * length(ins.letters) + act.price + CASE WHEN f.fault = 'truncated' AND act.letter <> 'D' THEN 3 ELSE 0 END, 'audit': dp.best.audit || ins.letters || act.letter,
+      'body': dp.best.body || ins.body || CASE act.letter WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || f.role || ':' || f.text ELSE chr(10) || act.name || ':' || f.text END} AS way
+    FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.rn = dp.rn + 1 JOIN ins ON ins.p = dp.st
+    JOIN act ON act.p = ins.q AND (act.letter = 'D' OR (f.fault NOT IN ('blank', 'duplicate') AND (act.letter = 'R' OR act.c = substr(f.role, 1, 1))))) GROUP BY conv_id, rn, st),
+ends AS (SELECT conv_id, min(way) AS way FROM (
+  SELECT dp.conv_id, {'cost': dp.best.cost + 3 * length(ins.letters), 'audit': dp.best.audit || ins.letters, 'body': dp.best.body || ins.body} AS way
+  FROM dp JOIN counts ON counts.conv_id IS NOT DISTINCT FROM dp.conv_id AND counts.n = dp.rn JOIN ins ON ins.p = dp.st AND ins.q IN (0, 3)) GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(way.cost, 0) AS cost,
+  coalesce(way.audit, '') AS audit, sha256(coalesce(substr(way.body, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

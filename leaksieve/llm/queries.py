@@ -89,4 +89,4 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-SQL: dict[str, str] = {"op4_histogram_sort": histogram_shards.SQL, "op7_preference_pairs": preference_format.SQL, "op8_raked_mixture": raking.SQL}
+SQL: dict[str, str] = {"op4_histogram_sort": histogram_shards.SQL, "op12_conversation_repair": conversation_repair.SQL, "op7_preference_pairs": preference_format.SQL, "op8_raked_mixture": raking.SQL}

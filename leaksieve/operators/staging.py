@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 _own: dict[str, str] = {}
 
 
+#: Folders written by this process, by application id.
+_made: dict[str, list[str]] = {}
+
+
 def new_folder(spark: SparkSession) -> str:
     """A path of its own below spark.checkpoint.dir (below a new temporary folder where that is unset, as in tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -18,7 +22,18 @@ def new_folder(spark: SparkSession) -> str:
         app = spark.sparkContext.applicationId
         base = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="spark-")
         _own[app] = base
-    return f"{base.rstrip('/')}/kept-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/kept-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete what this process has staged for the application, once nothing reads it any more; returns the number of folders."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        inner = spark._jvm.org.apache.hadoop.fs.Path(path)
+        inner.getFileSystem(spark._jsc.hadoopConfiguration()).delete(inner, True)
+    return len(paths)
 
 
 def staged(df: DataFrame) -> DataFrame:

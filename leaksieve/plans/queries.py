@@ -143,7 +143,8 @@ def mask_values(spark, sf_dir):
 
 @_query(f"WITH {_M} SELECT rule, count(*) AS findings, count(DISTINCT doc_id) AS docs FROM m GROUP BY rule")
 def findings_by_rule(spark, sf_dir):
-    return found(spark, sf_dir).groupBy("rule").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("doc_id").alias("docs"))
+    by_doc = found(spark, sf_dir).groupBy("rule", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return by_doc.groupBy("rule").agg(F.sum("n").alias("findings"), F.count("doc_id").alias("docs"))
 
 
 @_query(f"WITH {_M} SELECT source, lang, count(*) AS findings FROM m GROUP BY source, lang")

@@ -13,6 +13,7 @@ from leaksieve.functions.rules import builtin_rules
 from leaksieve.functions.text import file_uri
 from leaksieve.operators import report, suppress
 from leaksieve.operators.scan import scan
+from leaksieve.operators.staging import drop_staged, staged
 from leaksieve.plans.history import scan_history
 from leaksieve.streaming.scan_stream import start_scan, windowed_counts
 
@@ -140,3 +141,10 @@ def test_late_rows(spark, tmp_path):
     assert files == ["a", "a", "b", "c", "in time"]  # a is forgotten by then and counts anew
     send(spark, folder, ("d", 1, AWS, 20))
     assert run()[1] == {1: 2, 9: 1, 10: 2}
+
+
+def test_staged_tables_are_dropped(spark):
+    kept = staged(spark.range(5))
+    assert kept.count() == 5 and drop_staged(spark) >= 1 and drop_staged(spark) == 0
+    with pytest.raises(Exception, match="does not exist|FILE_NOT_EXIST|PATH_NOT_FOUND|FAILED_READ_FILE"):
+        kept.count()

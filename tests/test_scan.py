@@ -167,6 +167,14 @@ def test_seed_phrases(spark):
         seed_phrase.seed_phrases(df, RULED[:-1])
 
 
+def test_word_list_file(spark, tmp_path):
+    (tmp_path / "words.txt").write_text("\n".join(RULED) + "\n\n")
+    assert seed_phrase.word_list(spark, str(tmp_path / "words.txt")) == RULED
+    (tmp_path / "more.txt").write_text("\n".join([*RULED, "extra"]))
+    with pytest.raises(ValueError):
+        seed_phrase.word_list(spark, str(tmp_path / "more.txt"))
+
+
 def test_seed_phrase_tag_and_checksum():
     import hashlib
     import hmac

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,12 +62,11 @@ def file_statuses(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
+    """A table of the target; empty where nothing was written yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:  # nothing was written yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], schema)
 
 
 def audit_log(spark: SparkSession, target: str) -> DataFrame:

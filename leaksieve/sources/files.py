@@ -105,45 +105,54 @@ def lines_in(f: BinaryIO, start: int, end: int) -> Iterator[bytes]:
 _BREAK = re.compile(rb"\r\n|\n|\r")
 #: Characters that also break the lines of plain texts.
 _WIDE = re.compile("[\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]")
-_LINE = pa.schema([(c, pa.string()) for c in _KEYS] + [("block", pa.int64()), ("k", pa.int64()), ("raw", pa.string()), ("note", pa.string())])
+_COUNT = pa.schema([(c, pa.string()) for c in _KEYS] + [("block", pa.int64()), ("n", pa.int64())])
+_LINE = pa.schema([(c, pa.string()) for c in _KEYS] + [("line", pa.int64()), ("raw", pa.string()), ("note", pa.string())])
+
+
+def _pieces(raw: bytes) -> list[str]:
+    """A physical line of a plain text, cut where wide separators end lines as well."""
+    text = raw.decode("utf-8", "replace")
+    body = text.rstrip("\r\n")
+    parts = _WIDE.split(body)
+    if len(parts) > 1 and parts[-1] == "" and len(body) == len(text):  # the text ends with a wide separator
+        parts.pop()
+    return parts
 
 
 def file_lines(files: DataFrame, wide: bool = False, split: int = SPLIT) -> DataFrame:
     """source, file, relpath, line (from 1), raw, note: physical lines with their ends, read in byte ranges.
 
+    Files are read twice, to count the lines of each range and to give them their numbers: texts are neither written nor exchanged.
     wide: plain texts, whose lines also end at form feeds and the wide separators; raw then has no end.
     """
-    ranges = files.select(*_KEYS, "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("block"))
+    ranges = files.select(*_KEYS, F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("block"))
+
+    def count(row: dict) -> Iterator[dict]:
+        n = 0
+        try:
+            with opened(row["file"]) as f:
+                for raw in lines_in(f, row["block"], row["block"] + split):
+                    n += len(_pieces(raw)) if wide else 1
+        except (OSError, pa.ArrowException):  # the second reading says so
+            pass
+        yield {c: row[c] for c in (*_KEYS, "block")} | {"n": n}
 
     def read(row: dict) -> Iterator[dict]:
-        keys = {c: row[c] for c in _KEYS} | {"block": row["block"]}
-        k = 0
+        keys = {c: row[c] for c in _KEYS}
+        line = row["before"]
         try:
             with opened(row["file"]) as f:
                 for raw in lines_in(f, row["block"], row["block"] + split):
-                    text = raw.decode("utf-8", "replace")
-                    if not wide:
-                        yield keys | {"k": k, "raw": text, "note": None}
-                        k += 1
-                        continue
-                    body = text.rstrip("\r\n")
-                    parts = _WIDE.split(body)
-                    if len(parts) > 1 and parts[-1] == "" and len(body) == len(text):  # the text ends with a wide separator
-                        parts.pop()
-                    for part in parts:
-                        yield keys | {"k": k, "raw": part, "note": None}
-                        k += 1
+                    for text in _pieces(raw) if wide else (raw.decode("utf-8", "replace"),):
+                        line += 1
+                        yield keys | {"line": line, "raw": text, "note": None}
         except (OSError, pa.ArrowException) as e:
-            yield keys | {"k": k, "raw": None, "note": f"unreadable: {e}"[:300]}
-
-    rows = _dealt(ranges, "file", "block").mapInArrow(_mapped(read, _LINE), "source string, file string, relpath string, block long, k long, raw string, note string")
-    # lines of the ranges before: one small row per range. A second reading of the files would be the alternative to writing them
-    rows = staged(rows)
-    counts = rows.where(F.col("note").isNull()).groupBy(*_KEYS, "block").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*_KEYS).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(F.col("source").alias("_s"), F.col("file").alias("_f"), F.col("block").alias("_b"), before.alias("_before")).where(F.col("_before") > 0)
-    same = (F.col("source") == F.col("_s")) & (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b"))
-    return rows.join(starts, same, "left").select(*_KEYS, (F.coalesce("_before", F.lit(0)) + F.col("k") + 1).alias("line"), "raw", "note")
+            yield keys | {"line": 0, "raw": None, "note": f"unreadable: {e}"[:300]}
+
+    counts = staged(_dealt(ranges, "file", "block").mapInArrow(_mapped(count, _COUNT), "source string, file string, relpath string, block long, n long"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*_KEYS).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    placed = counts.select(*_KEYS, "block", before.alias("before"))
+    return _dealt(placed, "file", "block").mapInArrow(_mapped(read, _LINE), "source string, file string, relpath string, line long, raw string, note string")
 
 
 def _account(lines: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 _TOKEN = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"|[{}\[\]:,]|[^\s"{}\[\]:,]+', re.DOTALL)
 
@@ -86,3 +86,22 @@ def spliced(text: str, changes: Mapping[tuple, str]) -> str:
     if met != set(changes) or json.loads(new) != doc:
         raise Refused("the rewritten text isn't the changed document")
     return new
+
+
+def respelled(text: str, change: Callable[[str], str | None]) -> tuple[str, int]:
+    """(text, number of changed strings) with every string value for which change gives a new one rewritten in place; raises Refused where it isn't JSON.
+
+    Every occurrence counts, those under repeated keys as well.
+    """
+    try:
+        json.loads(text)
+    except (ValueError, RecursionError) as e:
+        raise Refused(str(e)) from e
+    out, at = [], 0
+    for _, start, end in string_values(text):
+        token = text[start:end]
+        new = change(json.loads(token))
+        if new is not None:
+            out += [text[at:start], json.dumps(new, ensure_ascii=token.isascii() and "\\u" in token)]
+            at = end
+    return "".join([*out, text[at:]]), len(out) // 2

@@ -110,6 +110,17 @@ def without_overlaps(hits: Column) -> Column:
     return F.when(F.size(hits) < 2, hits).otherwise(F.aggregate(F.array_sort(hits), empty, step))
 
 
+def folded(hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The same fold over (start, rule index, end) in Python, for functions that rewrite a text where they scan it."""
+    kept: list[tuple[int, int, int]] = []
+    for hit in sorted(hits):
+        if not kept or hit[0] >= kept[-1][2]:
+            kept.append(hit)
+        elif hit[2] - hit[0] > kept[-1][2] - kept[-1][0]:
+            kept[-1] = hit
+    return kept
+
+
 def with_hits(df: DataFrame, column: str, rules: Sequence[Rule], name: str = "hits", words: Sequence[str] = (), cap: int | None = None, detectors: Sequence[Detector] = ()) -> DataFrame:
     """df with an array of (start, idx, end, value), overlaps resolved, for a string column; empty for null.
 

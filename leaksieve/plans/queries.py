@@ -374,11 +374,9 @@ r AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(doc, '\\bAKIA[0-9A-
 
 @_query(f"WITH {_J} SELECT doc_id, md5(new) AS digest, new <> doc AS changed FROM r")
 def redact_json_documents(spark, sf_dir):
-    """Whole JSON texts, walked, scanned and rewritten in place: only the strings with findings differ."""
-    files = json_documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file"), F.col("doc").alias("text"))
-    found_in = json_strings(files.withColumn("line", F.lit(1).cast("long")), "text")
-    done = rewritten("json", files, found_in, staged(scan(found_in, rules())))
-    return done.select(F.col("file").cast("long").alias("doc_id"), F.md5(F.col("raw").cast("binary")).alias("digest"), "changed")
+    """Whole JSON texts, scanned and rewritten in place: only the strings with findings differ."""
+    done = redact.redact_json_column(json_documents(spark, sf_dir).select("doc_id", "doc"), "doc", rules())
+    return done.select("doc_id", F.md5(F.col("redacted").cast("binary")).alias("digest"), (F.col("redacted") != F.col("doc")).alias("changed"))
 
 
 @_query(f"""WITH {_J}, k AS (SELECT file, doc_id, CASE WHEN doc_id % 401 = 7 THEN '{{"id": 0}}' || chr(10) ELSE doc END AS raw, CASE WHEN doc_id % 401 = 7 THEN '{{"id": 0}}' || chr(10) ELSE new END AS new, doc_id % 401 = 7 AND new <> doc AS failed FROM r),

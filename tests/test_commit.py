@@ -4,11 +4,12 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from leaksieve.functions.json_splice import Refused, spliced, string_values
 from leaksieve.functions.rules import builtin_rules
 from leaksieve.operators import commit, redact
-from leaksieve.operators.scan import scan
+from leaksieve.operators.scan import folded, scan, span_finder, without_overlaps
 from leaksieve.plans.history import redact_files
 from leaksieve.sources import readers
 from leaksieve.sources.walk import leaves
@@ -141,3 +142,44 @@ def test_names_that_are_taken(spark):
     assert (done._hits, done["__hits"], done.n_redacted) == (5, 6, 1)
     with pytest.raises(ValueError):
         redact.redact_column(df.withColumnRenamed("_hits", "n_redacted"), "value", builtin_rules())
+
+
+def test_json_column_equals_the_way_by_findings(spark):
+    rng = random.Random(9)
+    atoms = [AWS, GIT, "plain é", 'q"uo\\te', "\n", f"key={AWS}", f"{GIT}{AWS}", " ", "sk-" + "a1" * 30]
+    docs = [{"a": [rng.choice(["x", " ".join(rng.choice(atoms) for _ in range(rng.randrange(6)))]) for _ in range(3)], GIT: 1, "b": {"c": AWS if k % 3 else None}} for k in range(120)]
+    texts = [json.dumps(d, ensure_ascii=k % 2 == 0, indent=k % 4 or None) for k, d in enumerate(docs)] + ["{bad " + AWS, "", None, f'"{AWS}"', f'{{"a": "{AWS}", "a": "x {GIT}"}}']
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    got = {r.id: r for r in redact.redact_json_column(df, "text", builtin_rules()).collect()}
+    for k, text in enumerate(texts[:120]):
+        new = json.loads(got[k].redacted)
+        values = spark_free_redaction(docs[k])
+        assert new == values and not got[k].failed and (got[k].redacted == text) == (values == docs[k])
+    assert [(got[k].redacted, got[k].n_redacted, got[k].failed) for k in (120, 121, 122)] == [(texts[120], 0, True), ("", 0, True), (None, 0, False)]
+    assert got[123].redacted == '"[REDACTED:aws-access-key]"' and got[124].redacted == '{"a": "[REDACTED:aws-access-key]", "a": "x [REDACTED:github-pat]"}' and got[124].n_redacted == 2
+    some = redact.redact_json_column(df.where("id = 124"), "text", builtin_rules(), only=["github-pat"]).first()
+    assert some.redacted == f'{{"a": "{AWS}", "a": "x [REDACTED:github-pat]"}}' and some.n_redacted == 1
+
+
+def spark_free_redaction(doc):
+    """Every string value with its hits replaced, by the fold over the finder's hits."""
+    names = {r.order: r.rule for r in builtin_rules()}
+    spans = span_finder(tuple(builtin_rules()))
+    if isinstance(doc, dict):
+        return {k: spark_free_redaction(v) for k, v in doc.items()}
+    if isinstance(doc, list):
+        return [spark_free_redaction(v) for v in doc]
+    if not isinstance(doc, str):
+        return doc
+    for start, k, end in reversed(folded(spans(doc))):
+        doc = doc[:start] + f"[REDACTED:{names[k]}]" + doc[end:]
+    return doc
+
+
+def test_folds_agree(spark):
+    rng = random.Random(12)
+    rows = [[(rng.randrange(12), rng.randrange(4), 0) for _ in range(rng.randrange(6))] for _ in range(200)]
+    rows = [sorted({(a, k, a + rng.randrange(1, 6)) for a, k, _ in r}) for r in rows]
+    df = spark.createDataFrame([(i, [(a, k, e, "") for a, k, e in r]) for i, r in enumerate(rows)], "id int, hits array<struct<start:int,idx:int,end:int,value:string>>")
+    got = {r.id: [(h.start, h.idx, h.end) for h in r.kept] for r in df.select("id", without_overlaps(F.col("hits")).alias("kept")).collect()}
+    assert got == {i: folded(r) for i, r in enumerate(rows)}

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 _TOKEN = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"|[{}\[\]:,]|[^\s"{}\[\]:,]+', re.DOTALL)
 
@@ -55,8 +55,19 @@ def _at(doc, path: tuple):
     return doc
 
 
-def spliced(text: str, changes: Mapping[tuple, str]) -> str:
-    """The text with the strings at the given key paths replaced; raises Refused.
+def edited(text: str, edits: Sequence[Mapping]) -> str:
+    """The text with spans (start, end in code points, was, text; in order) replaced; raises Refused where a span no longer holds what it did."""
+    out, at = [], 0
+    for e in edits:
+        if e["start"] < at or text[e["start"] : e["end"]] != e["was"]:
+            raise Refused("the text is not the one that was scanned")
+        out += [text[at : e["start"]], e["text"]]
+        at = e["end"]
+    return "".join([*out, text[at:]])
+
+
+def spliced(text: str, changes: Mapping[tuple, str | Callable[[str], str]]) -> str:
+    """The text with the strings at the given key paths replaced, by a text or by what a function makes of the old one; raises Refused.
 
     Repeated keys: the last one is the value, as parsers have it. Where an earlier one under a changed path holds another string, the text is refused,
     since that string was never scanned.
@@ -68,6 +79,7 @@ def spliced(text: str, changes: Mapping[tuple, str]) -> str:
         raise Refused(str(e)) from e
     if not all(isinstance(v, str) for v in old.values()):
         raise Refused("a path doesn't lead to a string")
+    changes = {path: new(old[path]) if callable(new) else new for path, new in changes.items()}
     out, at, met = [], 0, set()
     for path, start, end in string_values(text):
         if path in changes:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from leaksieve.functions.detectors import Detector, detectors_of
-from leaksieve.functions.json_splice import Refused, respelled, spliced
+from leaksieve.functions.json_splice import Refused, edited, respelled, spliced
 from leaksieve.functions.rules import Rule
 from leaksieve.functions.slices import by_slices
 from leaksieve.functions.text import check_template, line_end, without_end
@@ -124,27 +125,71 @@ def redactions(findings: DataFrame, strings: DataFrame, template: str = TEMPLATE
     return strings.select(*keys, *more, "value").join(spans, keys).select(*keys, *more, replaced(F.col("value"), F.col("hits"), F.col("names"), template).alias("new_value"))
 
 
+_TODO = "array<struct<path:string,new_value:string,edits:array<struct<start:int,end:int,was:string,text:string>>>>"
+
+
+def edits_of(findings: DataFrame, template: str = TEMPLATE) -> DataFrame:
+    """(file, line, path or keypath, edits) of each string with findings: its spans with what they hold and what replaces it.
+
+    Findings alone say all of it: the texts they were found in are not joined again, and a text that has changed since is refused.
+    """
+    check_template(template)
+    new = F.replace(F.lit(template), F.lit("{rule}"), F.col("rule"))
+    key = "path" if "path" in findings.columns else "keypath"
+    return findings.groupBy("file", "line", key).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("match").alias("was"), new.alias("text")))).alias("edits"))
+
+
+def _changes(changes: DataFrame, *keys: str) -> DataFrame:
+    """todo: the changes of each text, by new_value or by edits."""
+    value = F.col("new_value") if "new_value" in changes.columns else F.lit(None).cast("string")
+    edits = F.col("edits") if "edits" in changes.columns else F.lit(None).cast("array<struct<start:int,end:int,was:string,text:string>>")
+    path = F.col("path") if "path" in changes.columns else F.lit(None).cast("string")
+    return changes.groupBy(*keys).agg(F.collect_list(F.struct(path.alias("path"), value.alias("new_value"), edits.alias("edits"))).cast(_TODO).alias("todo"))
+
+
+def _change(change: dict):
+    return change["new_value"] if change["edits"] is None else partial(edited, edits=change["edits"])
+
+
 def _spliced(documents: pa.Array, changes: pa.Array) -> pa.Array:
     out = []
     for text, todo in zip(documents.to_pylist(), changes.to_pylist(), strict=True):
-        new: dict[tuple, str] = {}
+        new: dict = {}
         try:
             for change in todo if text is not None else ():
                 path = tuple(json.loads(change["path"]))
-                if new.setdefault(path, change["new_value"]) != change["new_value"]:
-                    raise Refused("two texts for one path")
+                if path in new and (change["new_value"] is None or new[path] != change["new_value"]):
+                    raise Refused("two changes of one path")
+                new[path] = _change(change)
             out.append(spliced(text, new) if text is not None else None)
         except ValueError:
             out.append(None)
     return pa.array(out, pa.string())
 
 
+def _edited_lines(lines: pa.Array, changes: pa.Array) -> pa.Array:
+    out = []
+    for text, todo in zip(lines.to_pylist(), changes.to_pylist(), strict=True):
+        try:
+            made = {c if isinstance(c := _change(change), str) else c(text) for change in todo} if text is not None else {None}
+            out.append(made.pop() if len(made) == 1 else None)
+        except Refused:
+            out.append(None)
+    return pa.array(out, pa.string())
+
+
 @F.arrow_udf(StringType())
 def set_at(documents: pa.Array, changes: pa.Array) -> pa.Array:
     """A JSON text with strings replaced at key paths (JSON arrays of keys), every other byte kept; null where it is refused."""
     return by_slices(_spliced, pa.string(), documents, changes)
 
 
+@F.arrow_udf(StringType())
+def set_line(lines: pa.Array, changes: pa.Array) -> pa.Array:
+    """A line with its spans replaced; null where that is refused, or where two changes give different lines."""
+    return by_slices(_edited_lines, pa.string(), lines, changes)
+
+
 def _rewritten(rows: DataFrame, new: Column) -> DataFrame:
     """file, line, raw, changed, failed and was (the text before, where it changed) of rows (file, line, raw, todo)."""
     done = rows.withColumn("_new", new)
@@ -155,32 +200,28 @@ def _rewritten(rows: DataFrame, new: Column) -> DataFrame:
 
 
 def redact_json_lines(lines: DataFrame, changes: DataFrame) -> DataFrame:
-    """lines (file, line, raw with its end) and changes (file, line, path, new_value) -> lines with raw rewritten where changed, failed and was.
+    """lines (file, line, raw with its end) and changes (file, line, path, edits or new_value) -> lines with raw rewritten where changed, failed and was.
 
     Only the changed strings' bytes differ. A line whose change can't be applied stays as it was and is marked failed: the file must not be written.
     """
-    todo = changes.groupBy("file", "line").agg(F.collect_list(F.struct("path", "new_value")).alias("todo"))
-    joined = lines.select("file", "line", "raw").join(todo, ["file", "line"], "left")
+    joined = lines.select("file", "line", "raw").join(_changes(changes, "file", "line"), ["file", "line"], "left")
     body = F.when(F.col("todo").isNotNull(), without_end(F.col("raw")))
-    new = set_at(body, F.coalesce("todo", F.array().cast("array<struct<path:string,new_value:string>>")))
-    return _rewritten(joined, F.concat(new, line_end(F.col("raw"))))
+    return _rewritten(joined, F.concat(set_at(body, F.coalesce("todo", F.array().cast(_TODO))), line_end(F.col("raw"))))
 
 
 def redact_json_files(files: DataFrame, changes: DataFrame) -> DataFrame:
-    """files (file, text: one JSON document) and changes (file, path, new_value), as redact_json_lines; each file is its line 1."""
-    whole = files.select("file", F.lit(1).cast("long").alias("line"), F.col("text").alias("raw"))
-    todo = changes.groupBy("file").agg(F.collect_list(F.struct("path", "new_value")).alias("todo"))
-    joined = whole.join(todo, "file", "left")
+    """files (file, text: one JSON document) and changes (file, path, edits or new_value), as redact_json_lines; each file is its line 1."""
+    joined = files.select("file", F.lit(1).cast("long").alias("line"), F.col("text").alias("raw")).join(_changes(changes, "file"), "file", "left")
     body = F.when(F.col("todo").isNotNull(), F.col("raw"))
-    return _rewritten(joined, set_at(body, F.coalesce("todo", F.array().cast("array<struct<path:string,new_value:string>>"))))
+    return _rewritten(joined, set_at(body, F.coalesce("todo", F.array().cast(_TODO))))
 
 
 def redact_text_lines(lines: DataFrame, changes: DataFrame) -> DataFrame:
-    """As redact_json_lines, for plain text: changes are (file, line, new_value). Two different texts for one line fail it, as does one with a line break."""
-    todo = changes.groupBy("file", "line").agg(F.min("new_value").alias("todo"), F.max("new_value").alias("_other"))
-    joined = lines.select("file", "line", "raw").join(todo, ["file", "line"], "left")
-    new = F.when((F.col("todo") == F.col("_other")) & ~F.col("todo").rlike(r"[\r\n]"), F.concat("todo", line_end(F.col("raw"))))
-    return _rewritten(joined, new)
+    """As redact_json_lines, for plain text: changes are (file, line, edits or new_value). Two different results for one line fail it, as does one with a line break."""
+    joined = lines.select("file", "line", "raw").join(_changes(changes, "file", "line"), ["file", "line"], "left")
+    body = F.when(F.col("todo").isNotNull(), without_end(F.col("raw")))
+    new = joined.withColumn("_line", set_line(body, F.coalesce("todo", F.array().cast(_TODO))))
+    return _rewritten(new, F.when(~F.col("_line").rlike(r"[\r\n]"), F.concat("_line", line_end(F.col("raw")))))
 
 
 def vault_rows(changed: DataFrame, keys: Sequence[str], original: str, redacted: str, run_id: str) -> DataFrame:

@@ -63,27 +63,24 @@ def write_reports(result: Scan, rules: Sequence[Rule], out: str, sources: Sequen
     report.sarif(findings, rules).select("value").write.mode("overwrite").text(f"{out}/sarif")
 
 
-def rewritten(kind: str, rows: DataFrame, strings: DataFrame, findings: DataFrame, template: str = redact.TEMPLATE) -> DataFrame:
+def rewritten(kind: str, rows: DataFrame, findings: DataFrame, template: str = redact.TEMPLATE) -> DataFrame:
     """The lines of history files with their findings redacted (file, line, raw, changed, failed, was); nothing is written.
 
-    kind: jsonl or text (rows: file, line, raw) or json (rows: file, text, one document each). strings: the records the findings come from.
+    kind: jsonl or text (rows: file, line, raw) or json (rows: file, text, one document each). findings say where (file, line, path, spans) and what was
+    there, so only they are grouped and joined; a text that is no longer what was scanned fails its file.
     """
-    changes = redact.redactions(findings, strings, template)
-    if kind == "jsonl":
-        return redact.redact_json_lines(rows, changes.select("file", "line", "path", "new_value"))
-    if kind == "json":
-        return redact.redact_json_files(rows, changes.select("file", "path", "new_value"))
-    return redact.redact_text_lines(rows, changes.select("file", "line", "new_value"))
+    edits = redact.edits_of(findings, template)
+    return {"jsonl": redact.redact_json_lines, "json": redact.redact_json_files, "text": redact.redact_text_lines}[kind](rows, edits)
 
 
-def redact_files(kind: str, rows: DataFrame, strings: DataFrame, findings: DataFrame, target: str, run_id: str, template: str = redact.TEMPLATE) -> DataFrame:
+def redact_files(kind: str, rows: DataFrame, findings: DataFrame, target: str, run_id: str, template: str = redact.TEMPLATE) -> DataFrame:
     """Redact, validate and commit below target: files that pass are written with vault and audit, others are only named. Returns the statuses."""
-    return commit.commit(rewritten(kind, rows, strings, findings, template), target, run_id, kind)
+    return commit.commit(rewritten(kind, rows, findings, template), target, run_id, kind)
 
 
-def redact_jsonl(lines: DataFrame, strings: DataFrame, findings: DataFrame, template: str = redact.TEMPLATE) -> tuple[DataFrame, DataFrame]:
-    """(rewritten lines, statuses) of JSONL files: lines is (file, line, raw), strings has path. Files that fail keep their lines."""
-    new = staged(rewritten("jsonl", lines, strings, findings, template))
+def redact_jsonl(lines: DataFrame, findings: DataFrame, template: str = redact.TEMPLATE) -> tuple[DataFrame, DataFrame]:
+    """(rewritten lines, statuses) of JSONL files: lines is (file, line, raw), findings have path. Files that fail keep their lines."""
+    new = staged(rewritten("jsonl", lines, findings, template))
     statuses = commit.file_statuses(new, "jsonl")
     ok = statuses.where(F.col("status") == "ok").select("file", F.lit(True).alias("_ok"))
     kept = F.when(F.coalesce("_ok", F.lit(False)), F.col("raw")).otherwise(F.coalesce("was", "raw"))

@@ -390,7 +390,7 @@ def validated_commit(spark, sf_dir):
     hits = staged(scan(found_in, rules()))
     later = lines.withColumn("raw", F.when(F.col("line") % 401 == 7, F.lit('{"id": 0}\n')).otherwise(F.col("raw")))
     target = new_folder(spark)
-    statuses = commit.commit(rewritten("jsonl", later, found_in, hits), target, "run-1", "jsonl")
+    statuses = commit.commit(rewritten("jsonl", later, hits), target, "run-1", "jsonl")
     written = commit.current(spark, target).groupBy("file").agg(F.count(F.lit(1)).alias("lines_written"))
     return statuses.join(written, "file", "left").select("file", "status", "note", "lines", "changed_lines", "bytes_before", "bytes_after", F.coalesce("lines_written", F.lit(0)).alias("lines_written"))
 

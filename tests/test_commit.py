@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from leaksieve.functions.json_splice import Refused, spliced, string_values
+from leaksieve.functions.json_splice import Refused, edited, spliced, string_values
 from leaksieve.functions.rules import builtin_rules
 from leaksieve.operators import commit, redact
 from leaksieve.operators.scan import folded, scan, span_finder, without_overlaps
@@ -81,7 +81,7 @@ def test_whole_json_files(spark, tmp_path):
     found = spark.createDataFrame(found.collect(), found.schema)
     write(tmp_path, "race.json", '{"a": "' + AWS + '"')  # cut short after the scan
     target = str(tmp_path / "out")
-    statuses = {r.file.rsplit("/", 1)[-1]: (r.status, r.note) for r in redact_files("json", readers.whole_files(spark, paths), strings, found, target, "r1").collect()}
+    statuses = {r.file.rsplit("/", 1)[-1]: (r.status, r.note) for r in redact_files("json", readers.whole_files(spark, paths), found, target, "r1").collect()}
     assert statuses == {"good.json": ("ok", None), "clean.json": ("skip", None), "race.json": ("fail", "a change could not be applied")}
     rows = commit.current(spark, target).collect()
     assert [(r.file.rsplit("/", 1)[-1], r.raw) for r in rows] == [("good.json", good.replace(AWS, "[REDACTED:aws-access-key]").replace(GIT, "[REDACTED:github-pat]"))]
@@ -99,10 +99,9 @@ def test_one_refused_file_leaves_the_others_written(spark, tmp_path):
         write(tmp_path / "in", name, text)
     strings = readers.jsonl_strings(spark, [str(tmp_path / "in")], "s")
     found = spark.createDataFrame((f := scan(strings, builtin_rules())).collect(), f.schema)
-    strings = spark.createDataFrame(strings.collect(), strings.schema)
     write(tmp_path / "in", "b.jsonl", texts["b.jsonl"].replace('{"t": "b', '{"u": "b'))  # it changed after the scan
     target = str(tmp_path / "out")
-    got = {r.file.rsplit("/", 1)[-1]: r for r in redact_files("jsonl", lines_of(spark, tmp_path), strings, found, target, "r1").collect()}
+    got = {r.file.rsplit("/", 1)[-1]: r for r in redact_files("jsonl", lines_of(spark, tmp_path), found, target, "r1").collect()}
     assert {n: r.status for n, r in got.items()} == {"a.jsonl": "ok", "b.jsonl": "fail", "c.jsonl": "ok", "clean.jsonl": "skip"}
     assert got["a.jsonl"].lines == 4 and got["a.jsonl"].changed_lines == 2 and got["a.jsonl"].bytes_before == len(texts["a.jsonl"])
     now = {}
@@ -113,7 +112,7 @@ def test_one_refused_file_leaves_the_others_written(spark, tmp_path):
     assert sorted(r.file.rsplit("/", 1)[-1] for r in commit.audit_log(spark, target).collect()) == ["a.jsonl", "c.jsonl"]
     assert commit.vault(spark, target).count() == 4
     assert "".join(r.raw for r in sorted(commit.rolled_back(spark, target).where("file like '%a.jsonl'").collect())) == texts["a.jsonl"]
-    again = redact_files("jsonl", lines_of(spark, tmp_path), strings, found, target, "r2").collect()
+    again = redact_files("jsonl", lines_of(spark, tmp_path), found, target, "r2").collect()
     assert {r.status for r in again} == {"skip", "fail"} and {r.note for r in again} == {None, "already written", "a change could not be applied"}
     assert {p.name for p in (tmp_path / "out" / "files").iterdir()} == {"run=r1"}
     with pytest.raises(ValueError):
@@ -136,6 +135,21 @@ def test_text_lines_fold_or_refuse(spark):
     assert got == {("f", 1): ("A\r\n", True, False, "a\r\n"), ("f", 2): ("b", False, False, None), ("g", 1): ("c\n", False, True, None), ("h", 1): ("d", False, True, None)}
 
 
+def test_texts_that_changed_since_the_scan_fail(spark):
+    lines = spark.createDataFrame([("f", 1, f"a {AWS} {GIT}\r\n"), ("f", 2, f"é {AWS}"), ("g", 1, f"moved {AWS}\n"), ("h", 1, "short")], "file string, line long, raw string")
+    found = [("f", 1, 2, 22, AWS, "aws-access-key"), ("f", 1, 23, 63, GIT, "github-pat"), ("f", 2, 2, 22, AWS, "aws-access-key"), ("g", 1, 2, 22, AWS, "aws-access-key"), ("h", 1, 2, 22, AWS, "aws-access-key")]
+    findings = spark.createDataFrame([(f, line, [str(line)], a, b, m, r) for f, line, a, b, m, r in found], "file string, line long, keypath array<string>, start int, end int, match string, rule string")
+    got = {(r.file, r.line): (r.raw, r.failed) for r in redact.redact_text_lines(lines, redact.edits_of(findings)).collect()}
+    assert got == {("f", 1): ("a [REDACTED:aws-access-key] [REDACTED:github-pat]\r\n", False), ("f", 2): ("é [REDACTED:aws-access-key]", False), ("g", 1): (f"moved {AWS}\n", True), ("h", 1): ("short", True)}
+    doc = f'{{"a": "x {AWS}", "b": ["{GIT}"]}}'
+    edits = lambda was, a: [{"start": a, "end": a + len(was), "was": was, "text": "[R]"}]
+    from functools import partial
+
+    assert spliced(doc, {("a",): partial(edited, edits=edits(AWS, 2)), ("b", 0): partial(edited, edits=edits(GIT, 0))}) == '{"a": "x [R]", "b": ["[R]"]}'
+    with pytest.raises(Refused):
+        spliced(doc, {("a",): partial(edited, edits=edits(AWS, 1))})
+
+
 def test_names_that_are_taken(spark):
     df = spark.createDataFrame([("x " + AWS, 5, 6)], "value string, _hits int, __hits int")
     done = redact.redact_column(df, "value", builtin_rules()).first()

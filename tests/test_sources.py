@@ -59,7 +59,7 @@ def test_redact_jsonl_keeps_other_lines(spark, tmp_path):
     (tmp_path / "a.jsonl").write_bytes("".join(raw).encode())
     lines, strings = readers.file_lines(spark, [str(tmp_path)]), readers.jsonl_strings(spark, [str(tmp_path)], "s")
     found = scan_history(strings, builtin_rules()).findings
-    out, statuses = redact_jsonl(lines, strings, found)
+    out, statuses = redact_jsonl(lines, found)
     assert [r.raw for r in out.orderBy("line").collect()] == ['{"t": "k [REDACTED:aws-access-key] é"}\r\n', raw[1], raw[2]]
     assert [(r.status, r.note) for r in statuses.collect()] == [("ok", None)]
 

@@ -215,6 +215,7 @@ def _classed(df: DataFrame, threshold: float) -> DataFrame:
     owner = copies.groupBy("least.doc_id").agg(F.min(F.struct("h1", "h2")).alias("owner"))
     hashes = F.struct("h1", "h2")
     named = copies.withColumn("doc_id", F.col("least.doc_id")).join(owner, "doc_id").withColumn("id", F.when(hashes == F.col("owner"), F.col("doc_id")).otherwise(F.xxhash64(*same, "doc_id")))
+    named = staged(named.select(*same, "least", "id"))  # a plain exchange, so that the copies of a hot text can be split over tasks
     member = staged(known.select("doc_id", "mark", *same).join(named.select(*same, "least", "id"), same))
     first = (F.col("doc_id") == F.col("least.doc_id")) & (F.col("mark") == F.col("least.mark"))
     reps = staged(member.where(first).select("doc_id", "mark", "h1", "n", "id", "least").dropDuplicates(["id"]))

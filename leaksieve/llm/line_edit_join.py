@@ -2,7 +2,7 @@
 
 Two distinct lines are linked if they are few edits apart: two from 24 characters on, one from 12 on, none below (the shorter
 of the two lines decides). Links make classes, equal lines are one class from the start, and of each class only
-the line that comes first (by doc_id, then place) stays. A line is split into edits + 1 segments: a line within the threshold
+the line that comes first (by doc_id, then place) stays; links chain, so a removed line may be more than two edits from it. A line is split into edits + 1 segments: a line within the threshold
 must contain one of them unchanged, at a place and in a length that the edits left and right of it allow. So each
 line enters the buckets of its segments (index) and of the substrings that could be another line's segment (probes, for each
 length from its own down to ``edits`` less).
@@ -253,7 +253,8 @@ def line_classes(df: DataFrame) -> DataFrame:
     mine = staged(mine.select("id", "id2", F.coalesce("label", "id").alias("class_id"), F.when(F.col("label").isNull(), F.col("id2")).otherwise(0).alias("own")))
     found = staged(placed.join(mine, ["id", "id2"]))
     at = F.struct("doc_id", "mark", "line", "id", "id2")
-    heads = found.groupBy("class_id", "own").agg(F.min(at).alias("head"), (F.count(F.lit(1)) - 1).alias("others"))
+    # written before the join: a hot class's lines can then be split over tasks, which Spark does where both sides are plain exchanges
+    heads = staged(found.groupBy("class_id", "own").agg(F.min(at).alias("head"), (F.count(F.lit(1)) - 1).alias("others")))
     both = found.join(heads, ["class_id", "own"])
     later = F.struct("doc_id", "mark", "line") != F.struct("head.doc_id", "head.mark", "head.line")
     differs = F.struct("id", "id2") != F.struct("head.id", "head.id2")

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leaksieve.llm.tables import staged, text_of
+from leaksieve.session import bounded_batches
 
 _TRIM = ".,;:!?\"'()[]{}<>*_-…“”„«»¡¿"
 
@@ -127,6 +128,7 @@ def _selected(strong: dict[str, float]):
 
 def train(df: DataFrame, labels: DataFrame, sample: int = 12_000, least: int = 5, z: float = 4.0) -> dict:
     """{"weights": {feature: weight}, "theta": [..]}; a model that rejects nothing where no toxic text is labelled."""
+    bounded_batches(df.sparkSession)
     rows = staged(_without_copies(staged(labelled_sample(df, labels, sample))))
     toxic = (F.col("toxic") > 0).cast("int")
     n, toxic_n = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(toxic), F.lit(0))).first()
@@ -164,6 +166,7 @@ def _score(model: str):
 
 def severity(df: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
     """doc_id, expected_severity (sum over k of P(grade >= k)), grade (the median one) and rejected."""
+    bounded_batches(df.sparkSession)
     rows = df.select(F.col("doc_id").cast("long"), text_of(df).alias("text"))
     scored = rows.mapInArrow(_score(json.dumps(model)), "doc_id long, expected_severity double, grade int")
     return scored.withColumn("rejected", F.col("expected_severity") >= threshold)
@@ -171,6 +174,7 @@ def severity(df: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
 
 def without_toxic(df: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
     """The rows of df whose expected severity stays below the threshold, all columns kept."""
+    bounded_batches(df.sparkSession)
     m = json.dumps(model)
 
     @F.arrow_udf("double")

@@ -43,16 +43,17 @@ def stats_document(findings: DataFrame) -> DataFrame:
     return doc.select(F.to_json(F.struct("total_findings", "by_rule", "by_source")).alias("value"))
 
 
-def blast_radius(findings: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def blast_radius(findings: DataFrame, rules: Sequence[Rule], places: bool = False) -> DataFrame:
     """source, masked, rule, display, occurrences, files and rotation of each exposed value. Its places are rows of exposed_places.
 
     Groups are by masked text within a source; rule and display are those of the first place. Occurrences of one file meet first, so a value
-    that is everywhere is counted in parts.
+    that is everywhere is counted in parts. places: also an array of all its files by name, each with its number of occurrences (n).
     """
     place = F.struct("file", "line", "start", "rule_idx")
     by_file = findings.groupBy("source", "masked", "file").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(place.alias("at"), "rule", "display")).alias("first"))
-    grouped = by_file.groupBy("source", "masked").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("files"), F.min("first").alias("first"))
-    return with_rotation(grouped.select("source", "masked", "first.rule", "first.display", "occurrences", "files"), rules)
+    listed = [F.array_sort(F.collect_list(F.struct("file", "n"))).alias("places")] if places else []
+    grouped = by_file.groupBy("source", "masked").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("files"), F.min("first").alias("first"), *listed)
+    return with_rotation(grouped.select("source", "masked", "first.rule", "first.display", "occurrences", "files", *(["places"] if places else [])), rules)
 
 
 def exposed_places(findings: DataFrame) -> DataFrame:

@@ -172,11 +172,8 @@ SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 RESULTS = 5_000
 
 
-def sarif(findings: DataFrame, rules: Sequence[Rule], tool: str = "leaksieve", results: int = RESULTS) -> DataFrame:
-    """SARIF 2.1.0 documents of about so many results each (source, part, value); rules are the source's, numbered by first appearance.
-
-    A source's results are dealt to its parts by a hash of their file, line and place, so a hot source is many rows.
-    """
+def _sarif_parts(findings: DataFrame, rules: Sequence[Rule], tool: str) -> tuple[DataFrame, DataFrame]:
+    """(source, driver: the tool with the source's rules, numbered by first appearance) and (source, file, line, start, rule_idx, result)."""
     rows = with_fingerprint(findings)
     firsts = rows.groupBy("source", "rule", "display").agg(F.min(F.struct("file", "line", "start", "rule_idx")).alias("at"))
     numbered = with_rotation(firsts, rules).withColumn("ruleIndex", F.row_number().over(Window.partitionBy("source").orderBy("at")) - 1)
@@ -193,9 +190,38 @@ def sarif(findings: DataFrame, rules: Sequence[Rule], tool: str = "leaksieve", r
         F.struct(F.col("fingerprint").alias("leaksieve/v1")).alias("partialFingerprints"),
     )
     placed = rows.join(numbered.select("source", "rule", "ruleIndex"), ["source", "rule"])
-    parts = rows.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / results).alias("parts"))
+    driver = F.struct(F.struct(F.lit(tool).alias("name"), F.col("rules")).alias("driver"))
+    return described.select("source", driver.alias("driver")), placed.select("source", "file", "line", "start", "rule_idx", result.alias("result"))
+
+
+def sarif(findings: DataFrame, rules: Sequence[Rule], tool: str = "leaksieve", results: int = RESULTS) -> DataFrame:
+    """SARIF 2.1.0 documents of about so many results each (source, part, value); rules are the source's, numbered by first appearance.
+
+    A source's results are dealt to its parts by a hash of their file, line and place, so a hot source is many rows.
+    """
+    described, placed = _sarif_parts(findings, rules, tool)
+    parts = findings.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / results).alias("parts"))
     dealt = placed.join(parts, "source").withColumn("part", F.pmod(F.xxhash64("file", "line", "start"), "parts").cast("int"))
-    results = dealt.groupBy("source", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("file", "line", "start", result.alias("r")))), lambda x: x["r"]).alias("results"))
-    run = F.struct(F.struct(F.struct(F.lit(tool).alias("name"), F.col("rules")).alias("driver")).alias("tool"), "results")
-    doc = F.struct(F.lit(SARIF_SCHEMA).alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))
-    return described.join(results, "source").select("source", "part", F.to_json(doc).alias("value"))
+    listed = dealt.groupBy("source", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("file", "line", "start", F.col("result").alias("r")))), lambda x: x["r"]).alias("results"))
+    doc = F.struct(F.lit(SARIF_SCHEMA).alias("$schema"), F.lit("2.1.0").alias("version"), F.array(F.struct(F.col("driver").alias("tool"), "results")).alias("runs"))
+    return described.join(listed, "source").select("source", "part", F.to_json(doc).alias("value"))
+
+
+#: Results whose texts are put together at once.
+PIECE = 1_000
+
+
+def sarif_by_source(findings: DataFrame, rules: Sequence[Rule], tool: str = "leaksieve", piece: int = PIECE) -> DataFrame:
+    """One SARIF 2.1.0 document for each source, however many results it has (source, part: 0, value); sarif deals a hot source to several.
+
+    Results are spelled where they lie, numbered over a range exchange and put together in pieces; the group of a source only joins its pieces.
+    """
+    described, placed = _sarif_parts(findings, rules, tool)
+    order = ["source", "file", "line", "start", "rule_idx"]
+    spelled = _positions(placed.select(*order, F.to_json("result").alias("text")), order)
+    joined = lambda key: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "text"))), lambda x: x["text"]), ",").alias("text")
+    pieces = spelled.groupBy("source", F.floor(F.col("position") / piece).alias("piece")).agg(joined("position"))
+    whole = pieces.groupBy("source").agg(joined("piece"))
+    head = f'{{"$schema":"{SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":'
+    value = F.concat(F.lit(head), F.to_json("driver"), F.lit(',"results":['), "text", F.lit("]}]}"))
+    return described.join(whole, "source").select("source", F.lit(0).alias("part"), value.alias("value"))

@@ -27,3 +27,9 @@ def test_blast_radius_names_all_places(spark, tmp_path):
     got, wanted = both(spark, tmp_path, "blast_radius", rows)
     assert got == wanted
     assert {(r[0], r[-1]) for r in got} == {("s", "s/1.txt,s/1.txt,s/2.txt"), ("other", "other/3.txt")}
+
+
+def test_sarif_of_a_source_of_many_findings(spark, tmp_path):
+    rows = [(7 * k, f"a {k}", "en", "hot") for k in range(1, 5102)] + [(11, f"b {TOKEN} c", "en", "cold"), (13, "d", "en", "none")]
+    got, wanted = both(spark, tmp_path, "sarif_documents", rows)
+    assert len(got) == 2 and got == wanted

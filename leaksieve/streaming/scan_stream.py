@@ -17,6 +17,7 @@ from leaksieve.functions.rules import Rule
 from leaksieve.functions.text import fingerprint
 from leaksieve.operators.report import records
 from leaksieve.operators.scan import scan
+from leaksieve.operators.staging import staged
 from leaksieve.operators.suppress import glob_patterns
 
 
@@ -27,13 +28,18 @@ def text_stream(spark: SparkSession, path: str, source: str) -> DataFrame:
 
 
 def without_ignored(findings: DataFrame, ignores: DataFrame) -> DataFrame:
-    """Streamed findings that no ignore entry covers: anti-joins with the static entries, by rule, fingerprint and value; path globs are matched one by one."""
-    entries = lambda kind: ignores.where(F.col("kind") == kind).select(F.col("entry").alias(f"_{kind}")).distinct()
+    """Streamed findings that no ignore entry covers: anti-joins with the static entries, by rule, fingerprint and value; path globs are matched one by one.
+
+    The entries are written once, before the stream starts: each batch joins tables of a known size, which Spark broadcasts if small, and runs no Python for them.
+    """
+    held = staged(ignores.select("kind", "entry").distinct())
+    patterns = staged(glob_patterns(held))
+    entries = lambda kind: held.where(F.col("kind") == kind).select(F.col("entry").alias(f"_{kind}"))
     path = F.regexp_replace("relpath", r"\\", "/")
     out = findings.withColumns({"_fp": fingerprint(path, F.col("line"), F.col("rule")), "_at": path})
     out = out.join(entries("rule"), F.col("rule") == F.col("_rule"), "left_anti").join(entries("fingerprint"), F.col("_fp") == F.col("_fingerprint"), "left_anti")
     out = out.join(entries("value"), F.col("match") == F.col("_value"), "left_anti")
-    return out.join(glob_patterns(ignores), F.rlike("_at", F.col("_pattern")), "left_anti").drop("_fp", "_at")
+    return out.join(patterns, F.rlike("_at", F.col("_pattern")), "left_anti").drop("_fp", "_at")
 
 
 def first_seen_only(findings: DataFrame, time: str | None = None, late: str = "1 day") -> DataFrame:

@@ -4,7 +4,10 @@ from collections import Counter
 
 import pytest
 
-from leaksieve.plans.queries import QUERIES, SQL
+from leaksieve.operators import suppress
+from leaksieve.operators.scan import scan
+from leaksieve.plans.queries import QUERIES, SQL, rules
+from leaksieve.streaming.scan_stream import without_ignored
 
 duckdb = pytest.importorskip("duckdb")
 TOKEN = 'token = "' + "0123456789" * 4 + '"'
@@ -39,3 +42,13 @@ def test_planted_seed_phrases_among_others(spark, tmp_path):
     rows = [(13, "plain é", "en", "s"), (26, "bege " * 30, "en", "s"), (27, "bege " * 30, "en", "s"), (39, None, "en", "s"), (40, None, "en", "s"), (52, "", "en", "s")]
     got, wanted = both(spark, tmp_path, "seed_phrase_planted", rows)
     assert got == wanted and sorted(r[0] for r in got) == [13, 26, 39, 52]
+
+
+def test_ignore_entries_of_a_stream_run_no_python(spark):
+    texts = [("s", f, f, 1, f"x {TOKEN} ") for f in ("src1/7.txt", "src2/7.txt", "src3/8.txt")]
+    found = scan(spark.createDataFrame(texts, "source string, file string, relpath string, line long, value string"), rules())
+    kept = without_ignored(found, suppress.ignores_of(spark, ["rule:github-pat", "path:src1*", "src3/8.txt:1:generic-token"]))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "SortMergeJoin" not in plan
+    assert [r.file for r in kept.collect()] == ["src2/7.txt"]
+    assert without_ignored(found, suppress.ignores_of(spark, [])).count() == 3
